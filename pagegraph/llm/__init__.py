@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules of this subpackage with QUERIES and ORACLES.
-MODULES = ["op4_quality", "op6_neardup", "op8_bpe", "op9_secrets", "op10_decontaminate"]
+MODULES = ["op1_warc", "op4_quality", "op6_neardup", "op7_urls", "op8_bpe", "op9_secrets", "op10_decontaminate"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

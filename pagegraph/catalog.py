@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES: list[str] = []
+MODULES: list[str] = ["plans.q_urls"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

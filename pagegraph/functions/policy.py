@@ -47,7 +47,7 @@ def capped(body: Column, most: int) -> tuple[Column, Column]:
 
 
 def human_bytes(n: Column) -> Column:
-    shown = lambda unit, name: F.concat(F.format_string("%.1f", n / F.lit(float(unit))), F.lit(f" {name}"))
+    shown = lambda unit, name: F.concat(F.replace(F.format_number(n / F.lit(float(unit)), 1), F.lit(",")), F.lit(f" {name}"))
     return F.when(n >= 1 << 20, shown(1 << 20, "MB")).when(n >= 1 << 10, shown(1 << 10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 

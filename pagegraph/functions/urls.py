@@ -52,7 +52,7 @@ def decode_path(path: Column) -> Column:
 def parsable(url: Column) -> Column:
     """False for control characters, broken escapes before the query, and ports that are not numbers."""
     before = F.regexp_extract(url, "(?s)^([^?#]*)", 1)
-    bad = url.rlike("[\\x00-\\x1F\\x7F]") | before.rlike("%(?![0-9A-Fa-f]{2})") | split_url(url).host.rlike("(:[^0-9\\]]+$| )") | url.rlike("^[^/?#:]*$|^:") & url.rlike("^:")
+    bad = url.rlike("[\\x00-\\x1F\\x7F]") | before.rlike("%(?![0-9A-Fa-f]{2})") | split_url(url).host.rlike("(:[^0-9\\]]+$| )") | url.startswith(":")
     return ~bad
 
 

@@ -4,25 +4,30 @@ Numbers, names and units of a text become typed placeholders that keep their val
 Windows of WINDOW template tokens (a shorter item is one window) are hashed and joined with those
 of the benchmark items. A document holds an item if COVERED per cent of the item's windows, or RUN of
 them, are found and the slots agree: every value of the item stands for one value in the
-document, as in a question asked again with other numbers or names.
+document, as in a question asked again with other numbers or names. Documents are first
+searched for word pairs of which every held item shows one, so that few templates are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, table
+from pagegraph.llm.common import attach, table, written
 
 WINDOW, COVERED, RUN = 8, 50, 12
 #: Per cent of an item's slot values that may stand for several values.
 CONFLICTS = 20
 #: Benchmark windows up to which they are broadcast (under 10 MB); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Word pairs up to which documents are first searched for them.
+SEARCHED = 20_000
 
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
-#: Any of them, and anything that is not one of letters, marks, digits, placeholders and white space.
-SLOT, OTHER = "[\ue001-\ue003]", "[^\\p{L}\\p{M}\\p{N}\ue001-\ue004\\s]+"
+#: What parts tokens: anything but letters, marks, digits and placeholders.
+OTHER = "[^\\p{L}\\p{M}\\p{N}\ue001-\ue004]+"
 UNITS = "km|m|cm|mm|kg|g|mg|lbs?|oz|l|ml|miles?|feet|foot|inch(?:es)?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
 
 
@@ -30,27 +35,31 @@ def tokens(text: Column) -> Column:
     """Lower-case tokens without punctuation; a placeholder is its type's character and the value behind it."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\ue001-\ue004]", " ")
     # A capitalised word is a name unless it starts the text, a line or a sentence.
-    text = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;:)] )(\\p{Lu}\\p{Ll}+)", f"{NAME}$1")
-    text = F.regexp_replace(text, f"(?<={NAME}\\p{{L}}{{2,40}}) {NAME}", "\ue004")  # names of several words are one slot
-    text = F.regexp_replace(text, "(?<![\\p{L}\\p{N}])[$€£]?([0-9]+(?:[.,:/][0-9]+)*)(?![\\p{L}\\p{N}])", f" {NUMBER}$1 ")
-    text = F.regexp_replace(text, f"({NUMBER}\\S+\\s+)({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}$2")
-    text = F.regexp_replace(F.lower(text), OTHER, "")
-    return F.array_remove(F.split(text, "\\s+"), "")
+    text = F.regexp_replace(text, " (?<=[\\p{L}\\p{N},;:)] )(\\p{Lu}\\p{Ll}+)", f" {NAME}$1")
+    text = F.regexp_replace(text, f" (?<={NAME}\\p{{L}}{{2,40}} ){NAME}", "\ue004")  # names of several words are one slot
+    numbered = F.regexp_replace(text, "[0-9](?<![\\p{L}\\p{N}].)([0-9]*(?:[.,:/][0-9]+)*)(?![\\p{L}\\p{N}])", f" {NUMBER}$0 ")
+    numbered = F.regexp_replace(numbered, f"({NUMBER}\\S+\\s+)({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}$2")
+    text = F.when(text.rlike("[0-9]"), numbered).otherwise(text)
+    return F.array_remove(F.split(F.lower(text), OTHER), "")
 
 
-def with_windows(rows: DataFrame, text: str, keep: list[str], widths: list[int]) -> DataFrame:
-    """keep and, for each window of each row, h, pos and slots (its placeholders with values, in order)."""
+def with_windows(rows: DataFrame, text: str, keep: list[str], widths: list[int], pairs_too: bool = False) -> DataFrame:
+    """keep and, for each window of each row, h, pos, slots (its placeholders with values, in order) and on demand its longest pair of neighbouring words of letters."""
     rows = rows.select(*keep, tokens(F.col(text)).alias("v"))
-    marked = F.exists("v", lambda x: x.rlike(f"^{SLOT}"))
-    rows = rows.withColumn("slotted", marked).withColumn("w", F.when(F.col("slotted"), F.transform("v", lambda x: F.regexp_replace(x, f"^({SLOT}).*", "$1"))).otherwise(F.col("v")))
+    slot = lambda x: (x >= NUMBER) & (x < "\ue004")  # noqa: E731  starts with a placeholder
+    rows = rows.withColumn("s", F.transform("v", slot)).withColumn("h", F.transform("v", lambda x: F.when(slot(x), F.xxhash64(F.substring(x, 1, 1))).otherwise(F.xxhash64(x))))
 
     def windows(k: int) -> Column:
         def one(i: Column) -> Column:
-            slots = F.array_join(F.filter(F.array(*[F.get("v", i + j) for j in range(k)]), lambda x: x.rlike(f"^{SLOT}")), " ")
-            return F.struct(F.xxhash64(F.lit(k), *[F.get("w", i + j) for j in range(k)]).alias("h"), i.alias("pos"), F.when(F.col("slotted"), slots).otherwise("").alias("slots"))
+            any_slot = reduce(lambda a, b: a | b, [F.get("s", i + j) for j in range(k)])
+            slots = F.array_join(F.filter(F.array(*[F.get("v", i + j) for j in range(k)]), slot), " ")
+            letters = lambda j: F.get("v", i + j).rlike("^[\\p{L}\\p{M}]+$")
+            pairs = [F.when(letters(j) & letters(j + 1), F.struct((F.length(F.get("v", i + j)) + F.length(F.get("v", i + j + 1))).alias("n"), F.xxhash64(F.get("v", i + j), F.get("v", i + j + 1)).alias("x"))) for j in range(k - 1)]
+            best = [(F.array_max(F.array(*pairs)) if k > 1 else F.lit(None).cast("struct<n:int,x:bigint>")).alias("best")] if pairs_too else []
+            return F.struct(F.xxhash64(F.lit(k), *[F.get("h", i + j) for j in range(k)]).alias("h"), i.alias("pos"), F.when(any_slot, slots).otherwise("").alias("slots"), *best)
 
-        none = F.array().cast("array<struct<h:bigint,pos:int,slots:string>>")
-        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), one)).otherwise(none)
+        none = F.array().cast("array<struct<h:bigint,pos:int,slots:string" + ",best:struct<n:int,x:bigint>" * pairs_too + ">>")
+        return F.when(F.size("v") >= k, F.transform(F.sequence(F.lit(0), F.size("v") - k), one)).otherwise(none)
 
     return rows.select(*keep, F.inline(F.concat(*[windows(k) for k in widths])))
 
@@ -68,12 +77,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED, run: in
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_matched long, n_slots long, n_conflicts long")
     grams = None
     for k in widths:
-        part = with_windows(items.where(F.col("k") == k), "text", ["item_id"], [k])
+        part = with_windows(items.where(F.col("k") == k), "text", ["item_id"], [k], pairs_too=True)
         grams = part if grams is None else grams.union(part)
-    grams = grams.select("item_id", "h", F.col("pos").alias("ipos"), F.col("slots").alias("islots")).distinct()
+    grams = grams.select("item_id", "h", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), F.col("best.x").alias("pair"), F.coalesce("best.n", F.lit(0)).alias("size")).distinct()
+    grams = written(grams, "op10-grams")
     sizes = grams.groupBy("item_id").agg(F.count("*").alias("n_windows"))
 
-    found = with_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", ["doc_id"], widths)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # A held item shows `need` windows or more, so of all but need - 1 of its windows one is found: of those with the longest pairs.
+    need = F.least(F.ceil(F.col("n_windows") * covered / 100), F.lit(run))
+    order = Window.partitionBy("item_id").orderBy(F.desc("size"), "pair", "ipos", "h")
+    sought = grams.join(sizes, "item_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n_windows") - need + 1)
+    pairs = [r.pair for r in sought.select("pair").distinct().limit(SEARCHED + 1).collect()]
+    if 0 < len(pairs) <= SEARCHED and None not in pairs:
+        docs = docs.withColumn("w", F.split(F.lower("text"), "[^\\p{L}\\p{M}\\p{N}]+"))
+        seen = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 2)), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
+        listed = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<bigint>")  # one literal
+        docs = docs.where(F.arrays_overlap(seen, listed)).drop("w")
+    grams = grams.drop("pair", "size")
+    found = with_windows(docs, "text", ["doc_id"], widths)
     if grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hits = found.join(F.broadcast(grams), "h")
     else:

@@ -90,10 +90,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED, run: in
     sought = grams.join(sizes, "item_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n_windows") - need + 1)
     pairs = [r.pair for r in sought.select("pair").distinct().limit(SEARCHED + 1).collect()]
     if 0 < len(pairs) <= SEARCHED and None not in pairs:
-        docs = docs.withColumn("w", F.split(F.lower("text"), "[^\\p{L}\\p{M}\\p{N}]+"))
-        seen = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 2)), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
         listed = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<bigint>")  # one literal
-        docs = docs.where(F.arrays_overlap(seen, listed)).drop("w")
+        shows = lambda w: F.arrays_overlap(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 2)), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))), listed)
+        # The words are a lambda's argument: as a column they would be split anew for each pair once the filter is pushed down.
+        docs = docs.where(F.exists(F.array(F.split(F.lower("text"), "[^\\p{L}\\p{M}\\p{N}]+")), shows))
     grams = grams.drop("pair", "size")
     found = with_windows(docs, "text", ["doc_id"], widths)
     if grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

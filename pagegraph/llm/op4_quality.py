@@ -97,7 +97,10 @@ def quality(docs: DataFrame, limit: int = LIMIT, lost: int = LOST) -> DataFrame:
 def filtered(docs: DataFrame, limit: int = LIMIT, lost: int = LOST) -> DataFrame:
     """documents without the rejected ones and without the removed lines; same columns, n_chars made anew."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    base = with_base(keyed(docs.select("doc_id", "text", "source", row), "row")).where("not base_failed").withColumn("line_words", line_words(F.col("text")))
+    base = with_base(keyed(docs.select("doc_id", "text", "source", row), "row")).withColumn("line_words", line_words(F.col("text")))
+    # The generator keeps the filter above the figures; pushed below, it would make them anew for each word.
+    names = ["row", "doc_id", "text", "host", "fp1", "fp2", "base_failed", "line_words"]
+    base = base.select(F.inline(F.array(F.struct(*names)))).where("not base_failed")
     out = attach(base, removed_lines(docs, limit), ["host", "fp1", "fp2"], [F.coalesce("doc_id", F.lit(0))])
     out = out.where(F.coalesce(F.col("lost_words"), F.lit(0)) * 100 <= lost * F.col("line_words"))
     zipped = F.arrays_zip(F.split("text", "\n").alias("line"), F.transform(normal_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))

@@ -65,7 +65,8 @@ def attach(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str |
     are dealt anew by key and sub-key, so that adaptive execution can still split what stays large.
     """
     left = many.withColumn("_sub", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = one.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # A merge join at every size: the plan does not change when `one` outgrows a broadcast.
+    right = one.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.join(right, [*keys, "_sub"], how).drop("_sub")
 
 

@@ -7,9 +7,8 @@ with each choice of ERRORS symbols masked puts the two under one key, so every s
 Pairs that meet are filtered by the distance of longer signatures and confirmed on full sets.
 
 Only connectivity is asked for, so a bucket is not expanded into all its pairs: first each member
-meets the bucket's smallest, then its largest, and only then members that are still in different
-components meet each other. Buckets that are large by then are first split by the pairs of
-keys that two similar documents share.
+meets the bucket's smallest. Members that are in different components are then compared by signature, in
+blocks; in two rounds each is joined to its nearest, and in the last to all that are near.
 """
 
 from __future__ import annotations
@@ -29,8 +28,10 @@ from pagegraph.llm.shingles import mixed, shingle_sets, signatures
 CHUNKS, CHUNK, ERRORS = 12, 4, 1
 #: Symbols of the longer signature (8 bits each) and the least that a pair of similarity 0.75 has equal: its mean less 4.5 deviations.
 FULL, EQUAL = 192, 117
-#: A bucket of more documents than this is split by second keys before its members meet.
-BUCKET = 48
+#: The same for the first 48 of them, asked for first.
+EQUAL_FIRST = 21
+#: Documents of a bucket that are compared at once.
+BLOCK = 512
 PERCENT = 75
 
 
@@ -116,19 +117,74 @@ def member_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (key, id) of buckets with their component; only buckets with several components."""
     now = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     now = written(now, "op6-members")
-    mixed_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.max("id").alias("last")).where("lo < hi").select("key", "n", "last")
+    mixed_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return written(attach(now, mixed_keys, ["key"], ["id"], "inner"), "op6-mixed")
 
 
-def split_large(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of large buckets under pairs of keys: two similar documents that share a key share another one."""
-    small, large = members.where(F.col("n") <= BUCKET), members.where(F.col("n") > BUCKET)
-    if large.isEmpty():
-        return members.select("key", "id", "comp")
-    again = large.withColumnRenamed("key", "first").join(exploded_keys(reps.join(large.select("id").distinct(), "id", "left_semi")), "id").where("first <> key")
-    again = again.select(F.xxhash64("first", "key").alias("key"), "id", "comp")
-    shared = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return small.select("key", "id", "comp").union(attach(again, shared, ["key"], ["id"], "inner"))
+def across(members: DataFrame, reps: DataFrame, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that are in different components and have near signatures.
+
+    With `nearest` only the nearest of each member's partners in a pair of blocks.
+
+    In each bucket only members outside its commonest component meet the others. Both are dealt into
+    blocks of BLOCK documents; signatures of a pair of blocks are compared as arrays, so that
+    neither a bucket nor its pairs ever become rows of one task.
+    """
+    common = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("comp", F.struct("n", "comp")).alias("top"))
+    rows = attach(members.select("key", "id", "comp"), common, ["key"], ["id"], "inner")
+    rows = rows.join(reps.select("id", "n_shingles", F.expr(f"substring(sig, {2 * CHUNKS * CHUNK + 1})").alias("sig")), "id")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("bigint")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = rows.withColumns({"all": blocks("n"), "few": F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("top_n")) / BLOCK).cast("int"))})
+    one = rows.where("comp <> top").withColumn("i", own("few")).select("key", "i", each("all").alias("j"), F.lit(0).alias("side"), "id", "comp", "n_shingles", "sig")
+    two = rows.withColumn("j", own("all")).select("key", each("few").alias("i"), "j", F.lit(1).alias("side"), "id", "comp", "n_shingles", "sig")
+    dealt = one.union(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def compare(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(parts)
+        side, ids, comp, n = (t.column(k).to_numpy() for k in ("side", "id", "comp", "n_shingles"))
+        cut = int((side == 0).sum())
+        if not 0 < cut < len(ids):
+            return ids[:0], ids[:0]
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), FULL)
+        low, high = n * PERCENT, n * 100
+        found_a, found_b = [], []
+        for k in range(cut):
+            may = np.flatnonzero((comp[cut:] != comp[k]) & (high[cut:] >= low[k]) & (high[k] >= low[cut:])) + cut
+            if len(may):
+                may = may[(sig[may, :48] == sig[k, :48]).sum(1) >= EQUAL_FIRST]
+                same = (sig[may] == sig[k]).sum(1)
+                hit = may[same >= EQUAL]
+                if nearest and len(hit):
+                    hit = may[[int(same.argmax())]]
+                found_a.append(np.full(len(hit), ids[k]))
+                found_b.append(ids[hit])
+        x, y = (np.concatenate(f) if f else ids[:0] for f in (found_a, found_b))
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2)])
+            edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                mark = tuple(marks[:, x].tolist())
+                if mark != at and held:
+                    a, b = compare(held)
+                    if len(a):
+                        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+                    held = []
+                at = mark
+                held.append(batch.slice(x, y - x))
+        if held:
+            a, b = compare(held)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -143,13 +199,14 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     found = verified(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
     roots = components(found)
-    mixed_ = member_roots(members.select("key", "id"), roots)
-    found = found.union(verified(mixed_.where("id <> last").select(F.col("id").alias("a"), F.col("last").alias("b"))))
-    roots = components(found)
-    rest = split_large(member_roots(mixed_.select("key", "id"), roots), reps)
-    one, two = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    across = one.join(two, "key").where("ca <> cb and a < b").select("a", "b")
-    return components(found.union(verified(across)))
+    members = members.select("key", "id")
+    for nearest in (True, True, False):  # most links of a group are found by its nearest pairs; what is left then is compared in full
+        members = member_roots(members, roots)
+        near = written(across(members, reps, nearest).distinct(), "op6-across")
+        found = found.union(written(confirmed(near, docs), "op6-links"))
+        roots = components(found)
+        members = members.select("key", "id")
+    return roots
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ def tokens(text: Column) -> Column:
     text = F.regexp_replace(text, " (?<=[\\p{L}\\p{N},;:)] )(\\p{Lu}\\p{Ll}+)", f" {NAME}$1")
     text = F.regexp_replace(text, f" (?<={NAME}\\p{{L}}{{2,40}} ){NAME}", "\ue004")  # names of several words are one slot
     numbered = F.regexp_replace(text, "[0-9](?<![\\p{L}\\p{N}].)([0-9]*(?:[.,:/][0-9]+)*)(?![\\p{L}\\p{N}])", f" {NUMBER}$0 ")
+    numbered = F.regexp_replace(numbered, f"(\\G(?!\\A)|{NUMBER})([0-9]+)[.,:/](?=[0-9])", "$1$2\ue004")  # what parts a number's digits parts no tokens
     numbered = F.regexp_replace(numbered, f"({NUMBER}\\S+\\s+)({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}$2")
     text = F.when(text.rlike("[0-9]"), numbered).otherwise(text)
     return F.array_remove(F.split(F.lower(text), OTHER), "")

@@ -199,6 +199,19 @@ def test_decontamination(spark, docs, empty):
     assert op10_decontaminate.leaks(found, items.limit(0)).count() == 0
 
 
+def test_decontamination_whole_numbers(spark):
+    """A decimal, a thousand, a time, a date or a fraction is one slot, whatever its digits are."""
+    text = "the shop was open until {} and sold on that one long day about {} loaves of bread for the people of the town".format
+    old = [("12:30", "1,250"), ("4/5/2020", "3.50"), ("3/4", "2.5")]
+    new = [("9:05:10", "17"), ("11/12/1999", "2,000.75"), ("7", "12.25")]
+    items = spark.createDataFrame([(k, f"{chr(97 + k) * 9} {text(*v)}") for k, v in enumerate(old)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{chr(97 + k) * 9} {text(*v)}") for k, v in enumerate(new)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in op10_decontaminate.leaks(docs, items).collect()}
+    assert all((got[k, k].n_matched, got[k, k].n_slots, got[k, k].n_conflicts) == (got[k, k].n_windows, 2, 0) for k in range(3))
+    sizes = docs.select(op10_decontaminate.tokens(docs["text"]).alias("v")).collect()
+    assert {len(r.v) for r in sizes} == {25}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

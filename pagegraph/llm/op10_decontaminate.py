@@ -4,7 +4,8 @@ Numbers, names and units of a text become typed placeholders that keep their val
 Windows of WINDOW template tokens (a shorter item is one window) are hashed and joined with those
 of the benchmark items. A document holds an item if COVERED per cent of the item's windows, or RUN of
 them, are found and the slots agree: every value of the item stands for one value in the
-document, as in a question asked again with other numbers or names. Documents are first
+document, as in a question asked again with other numbers or names. Slots are compared in each
+place where the item may stand, so other questions of the same stem do no harm. Documents are first
 searched for word pairs of which every held item shows one, so that few templates are made.
 """
 
@@ -69,7 +70,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED, run: in
     """A row per document and benchmark item that it holds: doc_id, item_id, n_windows, n_matched, n_slots, n_conflicts.
 
     Null or empty texts hold nothing, and items without a token are held by nothing. Rows with the
-    same doc_id, or without one, are judged together. Extra columns are not read.
+    same doc_id, or without one, are reported together: they hold what one of them holds, or all of
+    them as one. Of several places that hold an item the one with most windows is shown. Extra columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.select("item_id", "text", F.least(F.lit(WINDOW), F.size(tokens(F.col("text")))).alias("k")).where("k > 0").distinct()
@@ -84,7 +86,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED, run: in
     grams = written(grams, "op10-grams")
     sizes = grams.groupBy("item_id").agg(F.count("*").alias("n_windows"))
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     # A held item shows `need` windows or more, so of all but need - 1 of its windows one is found: of those with the longest pairs.
     need = F.least(F.ceil(F.col("n_windows") * covered / 100), F.lit(run))
     order = Window.partitionBy("item_id").orderBy(F.desc("size"), "pair", "ipos", "h")
@@ -96,22 +98,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED, run: in
         # The words are a lambda's argument: as a column they would be split anew for each pair once the filter is pushed down.
         docs = docs.where(F.exists(F.array(F.split(F.lower("text"), "[^\\p{L}\\p{M}\\p{N}]+")), shows))
     grams = grams.drop("pair", "size")
-    found = with_windows(docs, "text", ["doc_id"], widths)
+    found = with_windows(docs, "text", ["doc_id", "row"], widths)
     if grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hits = found.join(F.broadcast(grams), "h")
     else:
         per_hash = grams.groupBy("h").agg(F.collect_list(F.struct("item_id", "ipos", "islots")).alias("items"))
-        hits = attach(found, per_hash, ["h"], ["doc_id", "pos"], "inner").select("doc_id", "pos", "slots", F.inline("items"))
-    hits = hits.groupBy("doc_id", "item_id", "ipos").agg(F.min(F.struct("pos", "slots", "islots")).alias("hit"))
-    counts = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"))
-    slots = hits.where("hit.slots <> ''").select("doc_id", "item_id", F.inline(F.arrays_zip(F.split("hit.slots", " ").alias("mine"), F.split("hit.islots", " ").alias("theirs"))))
-    slots = slots.groupBy("doc_id", "item_id", "theirs").agg(F.min("mine").alias("lo"), F.max("mine").alias("hi"))
-    slots = slots.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(F.col("lo") < F.col("hi")).alias("n_conflicts"))
-    same = [counts["doc_id"].eqNullSafe(slots["doc_id"]), counts["item_id"].eqNullSafe(slots["item_id"])]
+        hits = attach(found, per_hash, ["h"], ["doc_id", "pos"], "inner").select("doc_id", "row", "pos", "slots", F.inline("items"))
+    hits = written(hits.select("doc_id", "row", "item_id", "ipos", "pos", "slots", "islots").distinct(), "op10-hits")
+    # Ways to lay the item on the text: word for word, in climbing order with words put between, and by the first place of each window.
+    w = Window.partitionBy("doc_id", "row", "item_id").orderBy("pos", "ipos")
+    hits = hits.withColumn("falls", F.coalesce(F.lag("ipos").over(w) >= F.col("ipos"), F.lit(False)).cast("long")).withColumn("climb", F.sum("falls").over(w))
+    way = lambda kind, row, at: F.struct(F.lit(kind).alias("kind"), row.cast("long").alias("row"), at.cast("long").alias("at"))
+    ways = F.array(way(0, F.lit(0), F.lit(0)), way(1, F.col("row"), F.col("pos") - F.col("ipos")), way(2, F.col("row"), F.col("climb")))
+    hits = hits.withColumn("way", F.explode(ways)).groupBy("doc_id", "item_id", "way", "ipos").agg(F.min(F.struct("pos", "slots", "islots")).alias("hit"))
+    key = ["doc_id", "item_id", "way"]
+    counts = hits.groupBy(key).agg(F.count("*").alias("n_matched"))
+    slots = hits.where("hit.slots <> ''").select(*key, F.inline(F.arrays_zip(F.split("hit.slots", " ").alias("mine"), F.split("hit.islots", " ").alias("theirs"))))
+    slots = slots.groupBy(*key, "theirs").agg(F.min("mine").alias("lo"), F.max("mine").alias("hi"))
+    slots = slots.groupBy(key).agg(F.count("*").alias("n_slots"), F.count_if(F.col("lo") < F.col("hi")).alias("n_conflicts"))
+    same = [counts[k].eqNullSafe(slots[k]) for k in key]
     out = counts.join(slots, same, "left").select(counts["doc_id"], counts["item_id"], "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
     enough = (100 * F.col("n_matched") >= covered * F.col("n_windows")) | (F.col("n_matched") >= run)
     agree = 100 * F.col("n_conflicts") <= CONFLICTS * F.col("n_slots")
     held = out.join(sizes.withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item"))).where(enough & agree)
+    best = F.max_by(F.struct("n_matched", "n_slots", "n_conflicts"), F.struct("n_matched", -F.col("n_conflicts"), "n_slots"))
+    held = held.groupBy("doc_id", "item_id", "n_windows").agg(best.alias("best")).select("*", "best.*")
     return held.select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "n_conflicts")
 
 

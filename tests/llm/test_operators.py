@@ -212,6 +212,21 @@ def test_decontamination_whole_numbers(spark):
     assert {len(r.v) for r in sizes} == {25}
 
 
+def test_decontamination_places(spark):
+    """A question of the same stem before the item, or in another row without doc_id, does not hide it."""
+    stem = "the train that travels for {} hours with {} people and {} dogs".format
+    tail = "reads on through {} towns before it comes to a halt".format
+    item = f"{stem(60, 20, 5)} {tail(4)}"
+    other = f"{stem(70, 30, 6)} is late."
+    apart = f"{stem(60, 20, 5)} {' '.join(PROSE[:40])} {item[20:]}"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"{other} {item}"), (2, f"{other} {stem(8, 9, 7)} {tail(3)}"), (3, other), (None, other), (None, item), (4, f"{other} {apart}"), (5, f"{stem(60, 20, 5)} {tail(4)} {other}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in op10_decontaminate.leaks(docs, items).collect()}
+    assert set(got) == {1, 2, None, 4, 5}
+    assert all(got[k].n_matched == got[k].n_windows and got[k].n_conflicts == 0 for k in (1, 2, None, 5))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -2,7 +2,8 @@
 
 Pages whose rule allows or blocks them are the seeds. Trust follows links from trusted hosts;
 distrust runs against them, from blocked hosts to those that link to them: personalised
-PageRank with damping DAMPING, ROUNDS rounds, over edges with their counts. What a host's seeds give it
+PageRank with damping DAMPING over edges with their counts, until what is still to come is below
+TOLERANCE for all hosts together. What a host's seeds give it
 counts as the share of its pages. A host is blocked where distrust is THRESHOLD above trust.
 """
 
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, table, written
+from pagegraph.llm.common import attach, drop_table, table, written
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+#: Score that may be missing at the end, all hosts together. ROUNDS is of the SQL twin alone, which stops there.
+TOLERANCE = 1e-6
 #: Rows of (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -39,15 +42,21 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return pages.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "by_rule": F.col("_best.verdict")}).drop("_best")
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, score): personalised PageRank of seeds (host, score) over edges (src, dst, share)."""
-    now = seeds
-    for k in range(rounds):
-        given = edges.join(now.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        now = given.union(seeds.select("host", F.col("score") * (1 - damping))).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            now = written(now, "op7-rank")
-    return now.select("host", F.round(F.col("score") / (1 - damping), 9).alias("score"))
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """(host, score): personalised PageRank of seeds (host, score) over edges (src, dst, share), as a multiple of 1 - damping.
+
+    The sum of what the seeds send over paths of 0, 1, 2, ... edges; sent is what arrives by the last.
+    All that follows is at most damping / (1 - damping) times that.
+    """
+    edges = written(edges, "op7-edges")
+    now = written(seeds.select("host", F.col("score").alias("sent"), "score"), "op7-rank")
+    while (now.agg(F.sum("sent")).first()[0] or 0.0) * damping / (1 - damping) > tolerance:
+        given = edges.join(now.where("sent > 0").select(F.col("host").alias("src"), "sent"), "src").select(F.col("dst").alias("host"), (F.col("sent") * F.col("share") * damping).alias("sent"))
+        both = given.select("host", "sent", F.col("sent").alias("score")).union(now.select("host", F.lit(0.0), "score"))
+        nxt = written(both.groupBy("host").agg(F.sum("sent").alias("sent"), F.sum("score").alias("score")), "op7-rank")
+        drop_table(now)
+        now = nxt
+    return now.select("host", F.round("score", 9).alias("score"))
 
 
 def shares(links: DataFrame, src: str, dst: str) -> DataFrame:
@@ -55,13 +64,13 @@ def shares(links: DataFrame, src: str, dst: str) -> DataFrame:
     return links.join(out, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("all")).alias("share"))
 
 
-def host_scores(pages: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(pages: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of hosts with any, from pages (host, by_rule) and links (a, b, n)."""
     hosts = pages.groupBy("host").agg((F.count_if(F.col("by_rule") == "allow") / F.count("*")).alias("trust"), (F.count_if(F.col("by_rule") == "block") / F.count("*")).alias("distrust"))
     hosts = written(hosts.where("host <> ''"), "op7-hosts")
     seeds = {k: hosts.where(F.col(k) > 0).select("host", F.col(k).alias("score")) for k in ("trust", "distrust")}
     if not links.isEmpty():
-        seeds = {"trust": spread(seeds["trust"], shares(links, "a", "b"), damping, rounds), "distrust": spread(seeds["distrust"], shares(links, "b", "a"), damping, rounds)}
+        seeds = {"trust": spread(seeds["trust"], shares(links, "a", "b"), damping, tolerance), "distrust": spread(seeds["distrust"], shares(links, "b", "a"), damping, tolerance)}
     zero = F.lit(0.0)
     both = seeds["trust"].select("host", F.col("score").alias("trust"), zero.alias("distrust")).union(seeds["distrust"].select("host", zero, "score"))
     return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))

@@ -189,6 +189,28 @@ def test_urls(spark):
     assert got[9].host == "x.com" and got[9].path == ""
 
 
+def test_urls_deep_graph(spark):
+    """Scores against brute force on a chain of 14 hosts behind a blocked one and, by a lower damping, on a graph with cycles."""
+    rng = random.Random(7)
+    chain = [(f"h{k + 1:02}", f"h{k:02}", 1) for k in range(14)]
+    cyclic = sorted({(f"h{rng.randrange(9):02}", f"h{rng.randrange(9):02}") for _ in range(30)})
+    for links, damping in ((chain, 0.85), ([(a, b, rng.randint(1, 5)) for a, b in cyclic if a != b], 0.4)):
+        hosts = sorted({h for a, b, _ in links for h in (a, b)})
+        pages = [(h, "block" if h == "h00" else "allow" if h == "h05" and damping < 0.8 else None) for h in hosts]
+        want = {h: [0.0, 0.0] for h in hosts}
+        for k, (verdict, src, dst) in enumerate((("allow", 0, 1), ("block", 1, 0))):
+            sent = {h: float(v == verdict) for h, v in pages}
+            for _ in range(200):
+                for h in hosts:
+                    want[h][k] += sent[h]
+                out = {h: sum(x[2] for x in links if x[src] == h) for h in hosts}
+                sent = {h: sum(damping * sent[x[src]] * x[2] / out[x[src]] for x in links if x[dst] == h) for h in hosts}
+        got = op7_urls.host_scores(spark.createDataFrame(pages, "host string, by_rule string"), spark.createDataFrame(links, "a string, b string, n long"), damping).collect()
+        got = {r.host: (r.trust, r.distrust) for r in got}
+        for h in hosts:
+            assert got.get(h, (0.0, 0.0)) == pytest.approx(want[h], abs=2e-6)
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, "Alice has 3 apples and Bob has 5 apples so how many apples do they have in total today?"), (2, "short item"), (3, None)], "item_id long, text string")
     rows = [(1, "Question: Alice has 7 apples and Carol has 12 apples so how many apples do they have in total today? Yes."), (2, "a short item here"), (3, None), (4, ""), (5, "nothing to see")]

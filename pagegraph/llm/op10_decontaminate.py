@@ -90,7 +90,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED, run: in
     # A held item shows `need` windows or more, so of all but need - 1 of its windows one is found: of those with the longest pairs.
     need = F.least(F.ceil(F.col("n_windows") * covered / 100), F.lit(run))
     order = Window.partitionBy("item_id").orderBy(F.desc("size"), "pair", "ipos", "h")
-    sought = grams.join(sizes, "item_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n_windows") - need + 1)
+    sought = grams.join(sizes.withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item"))).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n_windows") - need + 1)
     pairs = [r.pair for r in sought.select("pair").distinct().limit(SEARCHED + 1).collect()]
     if 0 < len(pairs) <= SEARCHED and None not in pairs:
         listed = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<bigint>")  # one literal

@@ -249,6 +249,13 @@ def test_decontamination_places(spark):
     assert all(got[k].n_matched == got[k].n_windows and got[k].n_conflicts == 0 for k in (1, 2, None, 5))
 
 
+def test_decontamination_items_without_id(spark):
+    texts = [" ".join(PROSE[k : k + 20]).translate(str.maketrans("0123456789", "klmnopqrst")) for k in (0, 100)]
+    items = spark.createDataFrame([(1, texts[0]), (None, texts[1])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, items).collect()} == {(0, 1), (1, None)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

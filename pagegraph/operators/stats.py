@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,22 +69,31 @@ def magnitude(delta: Column) -> Column:
 
 
 def bootstrap_ci(rows: DataFrame, key: str, group: str, value: str, resamples: int = 2000, seed: int = 1) -> DataFrame:
-    """95 % interval of the ratio of averaged medians of group b to group a, per key.
+    """95 % interval of the ratio of averaged medians of group b to group a, per key, from resamples of all samples at their full size.
 
-    Picks are hashes of (seed, resample, draw), so a run can be repeated. The samples of a key are an array of
-    one row (runs of an experiment: tens), and each resample is a row of its own.
+    No resample is made: of n picks with replacement the m-th smallest is the sample at rank n * u, where u is the m-th
+    smallest of n uniform numbers, which is beta distributed. Numbers follow from (seed, group, resample), so a run can be repeated.
     """
-    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col(group) == "a", F.col(value)))).alias("a"), F.array_sort(F.collect_list(F.when(F.col(group) == "b", F.col(value)))).alias("b"))
-    draws = arrays.where("size(a) > 0 and size(b) > 0").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-
-    def middle(name: str) -> Column:
-        n = F.size(name)
-        picked = F.array_sort(F.transform(F.sequence(F.lit(1), n), lambda i: F.get(name, F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "r", i), n).cast("int"))))
-        return (F.get(picked, F.floor((n - 1) / 2).cast("int")) + F.get(picked, F.floor(n / 2).cast("int"))) / 2
 
-    ratios = draws.select(key, (middle("b") / middle("a")).alias("ratio"))
+    def ranks(n: int, name: str, r: int) -> list[int]:
+        """Ranks among the n samples of the middle two picks of a resample, the same one twice for odd n."""
+        rng, m = random.Random(f"{seed} {name} {r}"), (n + 1) // 2
+        u = rng.betavariate(m, n - m + 1)
+        v = u + (1 - u) * (1 - rng.random() ** (1 / (n - m))) if n % 2 == 0 else u  # the least of the n - m above u
+        return [min(n, int(n * x) + 1) for x in (u, v)]
+
+    at = [key, group]
+    counts = rows.where(F.col(group).isin("a", "b") & F.col(value).isNotNull()).groupBy(*at, F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    upto = counts.select(*at, F.sum("n").over(Window.partitionBy(*at).orderBy("x")).alias("rank"), "x", F.lit(None).cast("int").alias("r"))
+    draws = counts.groupBy(*at).agg(F.sum("n").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draws = draws.select(*at, F.explode(F.udf(ranks, "array<bigint>")("n", group, "r")).alias("rank"), F.lit(None).cast(upto.schema["x"].dataType).alias("x"), "r")
+    # From the highest rank down, values before draws: the last value seen is the smallest whose running count reaches the draw's rank.
+    w = Window.partitionBy(*at).orderBy(F.desc("rank"), F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    drawn = upto.union(draws).withColumn("x", F.last("x", ignorenulls=True).over(w)).where(F.col("r").isNotNull())
+    middle = lambda name: F.avg(F.when(F.col(group) == name, F.col("x")))
+    both = drawn.groupBy(key, "r").agg(middle("a").alias("a"), middle("b").alias("b")).where("a is not null and b is not null")
     low, high = int(resamples * 0.025), int(resamples * 0.975)
-    return ratios.groupBy(key).agg(F.array_sort(F.collect_list("ratio")).alias("s")).select(key, F.get("s", F.lit(low)).alias("ci_low"), F.get("s", F.lit(high)).alias("ci_high"))
+    return both.groupBy(key).agg(F.array_sort(F.collect_list(F.col("b") / F.col("a"))).alias("s")).select(key, F.get("s", F.lit(low)).alias("ci_low"), F.get("s", F.lit(high)).alias("ci_high"))
 
 
 def scaling_ratios(points: DataFrame) -> DataFrame:

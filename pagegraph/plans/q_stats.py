@@ -84,9 +84,8 @@ def pairwise_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals over the first thirty runs of each tool, as the protocol has it."""
-    rows = tools(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("workload", "tool").orderBy("run"))).where("k <= 30")
-    return stats.bootstrap_ci(rows, "workload", "tool", "d")
+    """Intervals over all runs of each tool."""
+    return stats.bootstrap_ci(tools(spark, sf_dir), "workload", "tool", "d")
 
 
 MADS = f"WITH {S}, {AB}, m AS (SELECT workload, tool, floor(median(d))::BIGINT AS m, quantile_disc(d, 0.5) AS q FROM ab GROUP BY 1, 2), v AS (SELECT ab.workload, ab.tool, quantile_disc(abs(d - q), 0.5) AS mad FROM ab JOIN m USING (workload, tool) GROUP BY 1, 2)"

@@ -1,6 +1,6 @@
 """Secret scans from built-in functions: three fixed patterns, and a randomness test battery.
 
-Candidates of the battery are runs of ENCODED characters with a letter and a digit. Their encoding
+Candidates of the battery are runs of ENCODED characters with a letter or a digit. Their encoding
 is inferred from the characters; under it come a chi-squared test of uniformity over the alphabet, a
 runs test above and below its middle, and a lag-one serial correlation. The p-values are combined by
 Fisher's method. Within each class of length (powers of two) the Benjamini-Hochberg procedure at RATE
@@ -30,6 +30,10 @@ STEPS, LAST_STEP = 8, 800
 #: Encodings in the order they are tried: pattern of the token, alphabet.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = [
+    ("^[0-9]+$", DIGITS),
+    ("^[a-z]+$", LOWER),
+    ("^[A-Z]+$", UPPER),
+    ("^[A-Za-z]+$", UPPER + LOWER),
     ("^[0-9a-f]+$", DIGITS + "abcdef"),
     ("^[0-9A-F]+$", DIGITS + "ABCDEF"),
     ("^[A-Z2-7]+$", UPPER + "234567"),
@@ -104,7 +108,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     parts = [assign, found(F.col("_text"), ACCESS), found(F.col("_text"), HEX)]
     numbered = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
     base = F.sort_array(F.concat(*[F.transform(p, numbered(k)) for k, p in enumerate(parts)]))
-    odd = F.filter(found(F.col("_text"), ENCODED), lambda x: x["part"].rlike("[0-9]") & x["part"].rlike("[A-Za-z]"))
+    odd = F.filter(found(F.col("_text"), ENCODED), lambda x: x["part"].rlike("[0-9A-Za-z]"))
     docs = docs.select(*keep, base.alias("base"), odd.alias("odd"))
     new = F.filter("odd", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
     step = lambda x: F.least(F.lit(LAST_STEP), F.floor(-F.ln(F.greatest(battery(x["part"]), F.lit(1e-300))) * STEPS)).cast("int")

@@ -105,6 +105,19 @@ def test_secrets(docs, empty):
     assert masked[10] == "<secret>' <secret> <secret>" and masked[4] == texts()[4]
 
 
+def test_secrets_of_letters_or_digits(spark):
+    """Random keys without a digit, or of digits alone, are found; structured runs of the same characters are not."""
+    rng = random.Random(5)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    keys = [("".join(rng.choices(chars, k=n)), True) for chars, n in ((small, 40), (small.upper(), 40), (small + small.upper(), 40), ("0123456789", 22)) for _ in range(10)]
+    keys += [(x, False) for x in ("xyz" * 13, "Z" * 40, "QrQr" * 10, "0" * 22)]
+    docs = spark.createDataFrame([(k, f"key {t} end") for k, (t, _) in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in op9_secrets.secrets(docs).collect()}
+    assert all(not got[k] for k, (_, real) in enumerate(keys) if not real)
+    for first in range(0, 40, 10):
+        assert sum(got[k] == f"random:4:{4 + len(keys[k][0])}" for k in range(first, first + 10)) >= 9
+
+
 def test_bpe(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

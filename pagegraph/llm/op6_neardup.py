@@ -7,13 +7,14 @@ with each choice of ERRORS symbols masked puts the two under one key, so every s
 Pairs that meet are filtered by the distance of longer signatures and confirmed on full sets.
 
 Only connectivity is asked for, so a bucket is not expanded into all its pairs: first each member
-meets the bucket's smallest. Members that are in different components are then compared by signature, in
-blocks; in two rounds each is joined to its nearest, and in the last to all that are near.
+meets the bucket's smallest. Members that are then in different components are compared by signature, in
+blocks that give a forest over the near ones. What the forests join is at last compared on full sets,
+again in blocks, and each block gives a forest of links; so rows grow with members, not with pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, components, map_batches, small_batches, table, written
+from pagegraph.llm.common import attach, components, drop_table, map_batches, small_batches, table, written
 from pagegraph.llm.shingles import mixed, shingle_sets, signatures
 
 CHUNKS, CHUNK, ERRORS = 12, 4, 1
@@ -30,8 +31,10 @@ CHUNKS, CHUNK, ERRORS = 12, 4, 1
 FULL, EQUAL = 192, 117
 #: The same for the first 48 of them, asked for first.
 EQUAL_FIRST = 21
-#: Documents of a bucket that are compared at once.
-BLOCK = 512
+#: Documents of a bucket whose signatures are compared at once.
+BLOCK = 2048
+#: Documents, and shingles, whose full sets are compared at once with as many others.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
 PERCENT = 75
 
 
@@ -113,99 +116,179 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a long, b long").distinct()
 
 
-def member_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, id) of buckets with their component; only buckets with several components."""
-    now = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+def by_group(rows: DataFrame, marks: list[str], compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Pairs (a, b) that `compare` gives for the rows of each group, ordered by side; the columns `marks` come first and name the group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            a, b = compare(pa.Table.from_batches(held))
+            if len(a):
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = np.stack([batch.column(k).to_numpy() for k in range(len(marks))])
+            edges = [0, *(np.flatnonzero((now[:, 1:] != now[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                mark = tuple(now[:, x].tolist())
+                if mark != at and held:
+                    yield from done()
+                    held = []
+                at = mark
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from done()
+
+    return rows.repartition(*marks).sortWithinPartitions(*marks, "side").mapInArrow(run, "a long, b long")
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph with this symmetric matrix: every node with a neighbour is in it."""
+    parents, children = [], []
+    seen = np.zeros(len(linked), bool)
+    for start in np.flatnonzero(linked.any(0)).tolist():
+        if seen[start]:
+            continue
+        seen[start] = True
+        waiting = [start]
+        while waiting:
+            x = waiting.pop()
+            fresh = np.flatnonzero(linked[x] & ~seen)
+            seen[fresh] = True
+            parents.append(np.full(len(fresh), x))
+            children.append(fresh)
+            waiting += fresh.tolist()
+    none = np.zeros(0, np.int64)
+    return np.concatenate(parents or [none]), np.concatenate(children or [none])
+
+
+def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, id, comp) of the buckets whose members are in several components."""
+    now = attach(members.select("key", "id"), roots.withColumnRenamed("node", "id"), ["id"], ["key"]).select("key", "id", F.coalesce("root", "id").alias("comp"))
     now = written(now, "op6-members")
     mixed_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return written(attach(now, mixed_keys, ["key"], ["id"], "inner"), "op6-mixed")
+    out = written(attach(now, mixed_keys, ["key"], ["id"], "inner"), "op6-mixed")
+    drop_table(now)
+    return out
 
 
-def across(members: DataFrame, reps: DataFrame, nearest: bool = False) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that are in different components and have near signatures.
+def dealt(rows: DataFrame, group: str, docs: int, shingles: int | None = None) -> DataFrame:
+    """Rows (group, id, comp, n_shingles, ...) of each group dealt into pairs of blocks (i, j), with their side there.
 
-    With `nearest` only the nearest of each member's partners in a pair of blocks.
-
-    In each bucket only members outside its commonest component meet the others. Both are dealt into
-    blocks of BLOCK documents; signatures of a pair of blocks are compared as arrays, so that
-    neither a bucket nor its pairs ever become rows of one task.
+    In each group only members outside its commonest component (side 0) meet the others (side 1: all).
+    A block holds about `docs` documents and `shingles` shingles, so that neither a group nor its pairs
+    ever become rows of one task.
     """
-    common = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("comp", F.struct("n", "comp")).alias("top"))
-    rows = attach(members.select("key", "id", "comp"), common, ["key"], ["id"], "inner")
-    rows = rows.join(reps.select("id", "n_shingles", F.expr(f"substring(sig, {2 * CHUNKS * CHUNK + 1})").alias("sig")), "id")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    by_comp = rows.groupBy(group, "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).groupBy(group)
+    common = by_comp.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "comp", "w")).alias("top"))
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / docs), F.ceil(w / shingles) if shingles else F.lit(1)).cast("int")
+    sizes = common.select(group, F.col("top.comp").alias("top"), blocks(F.col("n"), F.col("w")).alias("all"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("few"))
+    rows = attach(rows, sizes, [group], ["id"], "inner")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("bigint")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = rows.withColumns({"all": blocks("n"), "few": F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("top_n")) / BLOCK).cast("int"))})
-    one = rows.where("comp <> top").withColumn("i", own("few")).select("key", "i", each("all").alias("j"), F.lit(0).alias("side"), "id", "comp", "n_shingles", "sig")
-    two = rows.withColumn("j", own("all")).select("key", each("few").alias("i"), "j", F.lit(1).alias("side"), "id", "comp", "n_shingles", "sig")
-    dealt = one.union(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    one = rows.where("comp <> top").withColumn("i", own("few")).withColumn("j", each("all")).withColumn("side", F.lit(0))
+    two = rows.withColumn("j", own("all")).withColumn("i", each("few")).withColumn("side", F.lit(1))
+    names = [group, "i", "j", "side", *[c for c in rows.columns if c not in (group, "top", "all", "few")]]
+    return one.select(names).union(two.select(names))
+
+
+def near_forest(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """For each bucket a forest (a, b) over the members that have a near signature in another component."""
+    rows = members.select("key", "id", "comp").join(reps.select("id", "n_shingles", F.expr(f"substring(sig, {2 * CHUNKS * CHUNK + 1})").alias("sig")), "id")
 
-    def compare(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(parts)
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         side, ids, comp, n = (t.column(k).to_numpy() for k in ("side", "id", "comp", "n_shingles"))
         cut = int((side == 0).sum())
-        if not 0 < cut < len(ids):
-            return ids[:0], ids[:0]
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), FULL)
         low, high = n * PERCENT, n * 100
-        found_a, found_b = [], []
+        names, number = np.unique(ids, return_inverse=True)
+        linked = np.zeros((len(names), len(names)), bool)
         for k in range(cut):
             may = np.flatnonzero((comp[cut:] != comp[k]) & (high[cut:] >= low[k]) & (high[k] >= low[cut:])) + cut
             if len(may):
                 may = may[(sig[may, :48] == sig[k, :48]).sum(1) >= EQUAL_FIRST]
-                same = (sig[may] == sig[k]).sum(1)
-                hit = may[same >= EQUAL]
-                if nearest and len(hit):
-                    hit = may[[int(same.argmax())]]
-                found_a.append(np.full(len(hit), ids[k]))
-                found_b.append(ids[hit])
-        x, y = (np.concatenate(f) if f else ids[:0] for f in (found_a, found_b))
-        return np.minimum(x, y), np.maximum(x, y)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2)])
-            edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                mark = tuple(marks[:, x].tolist())
-                if mark != at and held:
-                    a, b = compare(held)
-                    if len(a):
-                        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
-                    held = []
-                at = mark
-                held.append(batch.slice(x, y - x))
-        if held:
-            a, b = compare(held)
-            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+                hit = may[(sig[may] == sig[k]).sum(1) >= EQUAL]
+                linked[number[k], number[hit]] = linked[number[hit], number[k]] = True
+        a, b = forest(linked)
+        return names[a], names[b]
+
+    return by_group(dealt(rows, "key", BLOCK), ["key", "i", "j"], compare)
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """The sizes of the intersections of each of the sets `one` with each of `two` (64-bit hashes, each sorted, without repeats)."""
+    sets = [*one, *two]
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    column = np.cumsum(np.concatenate(([True], flat[1:] != flat[:-1]))) - 1
+    often = np.bincount(column) > 1  # a hash of one set is in no intersection
+    keep = often[column]
+    row, column = row[keep], (np.cumsum(often) - 1)[column[keep]]
+    total = np.zeros((len(one), len(two)), np.float64)
+    for at in range(0, int(often.sum()), width):  # columns are ordered, and so are slices of them
+        x, y = np.searchsorted(column, (at, at + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[x:y], column[x:y] - at] = 1
+        total += part[: len(one)] @ part[len(one) :].T  # at most `width` in a slice: exact
+    return total
+
+
+def link_forest(near: DataFrame, reps: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b), by full sets, between components: of those within a group of documents joined by near pairs, a forest for each two blocks."""
+    nodes = near.select(F.col("node").alias("id"), F.col("root").alias("label")).union(near.select("root", "root")).distinct()
+    nodes = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("label", "id", F.coalesce("root", "id").alias("comp"))
+    nodes = written(nodes.join(reps.select("id", "n_shingles"), "id"), "op6-near")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
+    texts = texts.join(nodes.select("id"), "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")  # repeated rows once
+    marks = ["label", "i", "j"]
+
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side, ids, comp = (t.column(k).to_numpy() for k in ("side", "id", "comp"))
+        cut = int((side == 0).sum())
+        if not 0 < cut < len(ids):
+            return ids[:0], ids[:0]
+        sets = shingle_sets(t.column("text").to_pylist())
+        n = np.array([len(s) for s in sets])
+        same = shared_counts(sets[:cut], sets[cut:])
+        link = (same > 0) & (100 * same >= PERCENT * (n[:cut, None] + n[None, cut:] - same)) & (comp[:cut, None] != comp[None, cut:])
+        a, b = np.nonzero(link)
+        b += cut
+        names, number = np.unique(comp, return_inverse=True)
+        which = np.full((len(names), len(names)), -1)  # of the links between two components one stands for all
+        which[number[a], number[b]] = which[number[b], number[a]] = np.arange(len(a))
+        k = which[forest(which >= 0)]
+        return ids[a[k]], ids[b[k]]
+
+    rows = dealt(nodes, "label", BLOCK_SETS, BLOCK_SHINGLES).join(texts, "id").select(*marks, "side", "id", "comp", "text")
+    return by_group(rows, marks, compare)
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Roots of the components of all links between representatives: (node, root)."""
     keys = exploded_keys(reps)
-    shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    # Buckets with the same members are one: most keys of a group give the same list.
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), *mark).where("n > 1")
+    shared = shared.groupBy("first", "n", "x0", "x1").agg(F.min("key").alias("key")).select("key", "first", "n")
     members = written(attach(keys, shared, ["key"], ["id"], "inner"), "op6-buckets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = written(close(pairs.distinct(), reps), "op6-close")
-        return written(confirmed(near, docs), "op6-links")
-
-    found = verified(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    near = written(close(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), reps), "op6-close")
+    found = written(confirmed(near, docs), "op6-links")
+    drop_table(near)
     roots = components(found)
-    members = members.select("key", "id")
-    for nearest in (True, True, False):  # most links of a group are found by its nearest pairs; what is left then is compared in full
-        members = member_roots(members, roots)
-        near = written(across(members, reps, nearest).distinct(), "op6-across")
-        found = found.union(written(confirmed(near, docs), "op6-links"))
+    mixed_members = apart(members.where("n > 2"), roots)  # of two members all is known
+    drop_table(members)
+    near = written(near_forest(mixed_members, reps).distinct(), "op6-near-pairs")
+    drop_table(mixed_members)
+    if not near.isEmpty():
+        found = found.union(written(link_forest(components(near), reps, roots, docs), "op6-links"))
         roots = components(found)
-        members = members.select("key", "id")
+    drop_table(near)
     return roots
 
 

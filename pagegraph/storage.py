@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own is set."""
+    """The folder in spark.checkpoint.dir; where it is unset (tests), one in the warehouse, which executors see too."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagegraph-"))
-            known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get()
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared").rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/pagegraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,41 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegraph.storage import shared_dir, written as written  # noqa: PLC0414  passed on to the operators
+
 #: Sub-keys that a key which may hold a third of all rows is spread over in a join.
 SALTS = 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagegraph-"))
-            known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get()
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pagegraph/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -52,10 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Bounds what one Arrow batch holds, so that long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def slices(batch: pa.RecordBatch, rows: int = 1000, mb: int = 16) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and about `mb` MB, so that what is made of long texts does not pile up in a worker."""
+    texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(batch.num_rows, np.int64))
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        full = np.searchsorted(ends, (ends[at - 1] if at else 0) + (mb << 20), "right")
+        end = min(batch.num_rows, at + rows, max(at + 1, int(full)))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def attach(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str | Column], how: str = "left", salts: int = SALTS) -> DataFrame:
@@ -70,13 +60,13 @@ def attach(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str |
     return left.join(right, [*keys, "_sub"], how).drop("_sub")
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, rows: int = 1000, mb: int = 16) -> DataFrame:
+    """mapInArrow for a function of one batch, which gets it in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from work(batch)
+            for part in slices(batch, rows, mb):
+                yield from work(part)
 
     return df.mapInArrow(run, schema)
 

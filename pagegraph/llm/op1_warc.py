@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, drop_path, fresh_path, small_batches, table
+from pagegraph.llm.common import attach, drop_path, fresh_path, slices, table
 
 LEAST, BLOCK = 1000, 2000
 #: Bytes of payload after which a batch goes on.
@@ -47,7 +47,7 @@ def write_arc(pages: DataFrame, path: str, block: int = BLOCK) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, offset, version = 0, 0, 1
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 500, 8)):
             out: list[str] = []
             size = 0
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -232,7 +232,6 @@ def archived(pages: DataFrame) -> DataFrame:
     their group are all responses. Extra columns are not read.
     """
     spark = pages.sparkSession
-    small_batches(spark, 500, 8)
     arc, warc = fresh_path(spark, "op1-arc"), fresh_path(spark, "op1-warc")
     write_arc(pages, arc)
     first = revisits(read_arc(spark, arc, payloads=False))

@@ -5,27 +5,35 @@ itself, if the lexicon of the training sample has it. The field learns their wei
 transitions between labels from sequences spliced of pieces of texts in several languages, so that it
 labels code-switched text; marginals come from the forward-backward algorithm.
 
-It is fitted on a bounded sample: SAMPLE labelled documents of each of at most LABELS languages, chosen by
-a hash, and PIECES pieces of PIECE words of each. Every text is then labelled whole.
+It is fitted on a bounded sample: SAMPLE labelled documents of each language at most and about TOTAL of all,
+chosen by a hash, and PIECES pieces of PIECE words of each, cut where the documents are. Every text is then
+labelled whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import map_batches, small_batches, table
+from pagegraph.llm.common import map_batches, table
 
-SAMPLE, LABELS, PIECES, PIECE = 300, 200, 6, 25
-BUCKETS, ROUNDS, RATE, DECAY = 1 << 17, 4, 0.2, 1e-6
+SAMPLE, TOTAL, PIECES, PIECE = 300, 60_000, 6, 25
+#: Feature buckets, and weights at most (buckets times labels): with very many languages there are fewer buckets.
+BUCKETS, WEIGHTS, ROUNDS, RATE, DECAY = 1 << 17, 1 << 24, 4, 0.2, 1e-6
 #: Sequences of a training step and words of a sequence; lexicon words occur LEAST times or more.
 BATCH, LENGTH, LEAST = 64, 50, 2
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters of a word that is learned from at most; longer runs of letters are labelled only.
+LONGEST = 100
+#: Steps of a sequence whose marginals are held at once.
+STEPS = 4096
+#: Letters with the marks on them.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -33,8 +41,8 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of all features of the words, and where each word's begin."""
+def features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of all features of the words, and where each word's begin; the last of each is the word itself."""
     joined = "".join(f"\x02{w}\x03" for w in words)
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -57,7 +65,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(owner, kind="stable")
     flat = flat[order]
     flat = (flat ^ (flat >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (flat >> np.uint64(32)).astype(np.int64) % BUCKETS, np.searchsorted(owner[order], np.arange(len(words)))
+    return (flat >> np.uint64(32)).astype(np.int64) % buckets, np.searchsorted(owner[order], np.arange(len(words)))
 
 
 def forward_backward(emit: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +105,7 @@ class Field:
         self.labels, self.weights, self.move, self.lexicon = labels, weights, move, lexicon
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        ids, starts = features(words)
+        ids, starts = features(words, len(self.weights))
         out = np.add.reduceat(self.weights[ids], starts)
         ends = np.append(starts[1:], len(ids)) - 1  # the last feature is the word itself
         unknown = np.fromiter((w not in self.lexicon for w in words), bool, len(words))
@@ -114,7 +122,7 @@ class Field:
         order = sorted(range(len(texts)), key=lambda k: len(coded[k]))
         while order:  # sequences of like length go together
             longest = len(coded[order[-1]])
-            size = max(1, min(256, (1 << 18) // longest))
+            size = max(1, min(256, (1 << 20) // (min(longest, STEPS) * len(self.labels))))
             part, order = order[-size:], order[:-size]
             while len(part) > 1 and len(coded[part[0]]) * 2 < longest:
                 order.append(part.pop(0))
@@ -124,51 +132,71 @@ class Field:
             for c, k in enumerate(part):
                 mask[: len(coded[k]), c] = True
                 ids[: len(coded[k]), c] = coded[k]
-            marginal = self.means(emit[ids], mask)
+            marginal = self.means(emit, ids, mask)
             for c, k in enumerate(part):
                 out[k] = marginal[c]
         return out
 
-    def means(self, emit: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        up = np.exp(emit - emit.max(2, keepdims=True)).astype(np.float32)
+    def means(self, emit: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The mean marginals (batch, label) of sequences of numbers of words; STEPS words are held at once."""
+        up = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float32)
         go = np.exp(self.move - self.move.max()).astype(np.float32)
-        alpha = np.empty_like(up)
-        alpha[0] = up[0] / up[0].sum(1, keepdims=True)
-        for t in range(1, len(up)):
-            a = (alpha[t - 1] @ go) * up[t]
-            a /= a.sum(1, keepdims=True)
-            alpha[t] = a
+
+        def forward(at: int, a: np.ndarray | None) -> np.ndarray:
+            x = up[ids[at : at + STEPS]]
+            alpha = np.empty_like(x)
+            for t in range(len(x)):
+                a = x[t] if a is None else (a @ go) * x[t]
+                a = a / a.sum(1, keepdims=True)
+                alpha[t] = a
+            return alpha
+
+        starts = range(0, len(ids), STEPS)
+        before: list[np.ndarray | None] = [None]  # alpha ahead of each part
+        alpha = None
+        for at in starts:
+            alpha = forward(at, before[-1])
+            before.append(alpha[-1])
         total = np.zeros(alpha.shape[1:])
         beta = np.full(alpha.shape[1:], 1 / alpha.shape[2], np.float32)
         back = np.ascontiguousarray(go.T)
-        for t in range(len(up) - 1, -1, -1):
-            live = mask[t][:, None]
-            g = alpha[t] * beta
-            total += g / g.sum(1, keepdims=True) * live
-            b = (up[t] * beta) @ back
-            b /= b.sum(1, keepdims=True)
-            beta = np.where(live, b, beta)
+        for k, at in reversed(list(enumerate(starts))):
+            if k < len(starts) - 1:
+                alpha = forward(at, before[k])
+            x = up[ids[at : at + STEPS]]
+            for t in range(len(x) - 1, -1, -1):
+                live = mask[at + t][:, None]
+                g = alpha[t] * beta
+                total += g / g.sum(1, keepdims=True) * live
+                b = (x[t] * beta) @ back
+                b /= b.sum(1, keepdims=True)
+                beta = np.where(live, b, beta)
         return total / mask.sum(0)[:, None]
 
 
-def fit(samples: list[tuple[str, str]], seed: int = 5) -> Field | None:
-    """A field from (text, label) pairs; None without any word."""
+def pieces_of(text: str | None, pieces: int = PIECES) -> list[list[str]]:
+    """At most `pieces` pieces of PIECE words of a text, chosen by the hash of their number; words over LONGEST characters are left out."""
+    words = words_of(text)
+    cuts = sorted(sorted(range(0, len(words), PIECE), key=lambda c: xxhash.xxh32_intdigest(str(c)))[:pieces])
+    return [[w for w in words[c : c + PIECE] if len(w) <= LONGEST] for c in cuts]
+
+
+def fit(samples: list[tuple[list[list[str]], str]], seed: int = 5) -> Field | None:
+    """A field from (pieces, label) pairs; None without any word."""
     rng = np.random.default_rng(seed)
     labels = sorted({label for _, label in samples})
-    pieces: list[tuple[list[str], int]] = []
-    counts: dict[str, int] = {}
-    for text, label in samples:
-        words = words_of(text)
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        cuts = range(0, len(words), PIECE)
-        chosen = cuts if len(cuts) <= PIECES else rng.choice(cuts, PIECES, replace=False)
-        pieces += [(words[c : c + PIECE], labels.index(label)) for c in sorted(int(c) for c in chosen)]
+    number = {label: k for k, label in enumerate(labels)}
+    pieces = [(p, number[label]) for some, label in samples for p in some if p]
     if not pieces:
         return None
+    counts: dict[str, int] = {}
+    for some, _ in pieces:
+        for w in some:
+            counts[w] = counts.get(w, 0) + 1
     lexicon = {w for w, n in counts.items() if n >= LEAST}
     size = len(labels)
-    weights, seen = np.zeros((BUCKETS, size)), np.full((BUCKETS, 1), 1e-2)
+    buckets = min(BUCKETS, max(256, 1 << (WEIGHTS // size).bit_length() - 1))
+    weights, seen = np.zeros((buckets, size)), np.full((buckets, 1), 1e-2)
     move, moved = np.zeros((size, size)), np.full((size, size), 1e-2)
     for _ in range(ROUNDS):
         order = rng.permutation(len(pieces))
@@ -187,12 +215,12 @@ def fit(samples: list[tuple[str, str]], seed: int = 5) -> Field | None:
             marginal, pairs = forward_backward(emit.reshape(width, LENGTH, size).transpose(1, 0, 2), move, mask)
             error = marginal.transpose(1, 0, 2).reshape(-1, size)[: len(part)]
             error[np.arange(len(part)), target] -= 1
-            ids, starts = features(part)
+            ids, starts = features(part, buckets)
             owner = np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(ids))))
-            gradient = np.zeros_like(weights)
-            np.add.at(gradient, ids, error[owner])
-            touched = np.unique(ids)
-            g = gradient[touched] / len(part) + DECAY * weights[touched]
+            touched, which = np.unique(ids, return_inverse=True)
+            g = np.zeros((len(touched), size))
+            np.add.at(g, which, error[owner])
+            g = g / len(part) + DECAY * weights[touched]
             seen[touched] += (g * g).mean(1, keepdims=True) * len(part)
             weights[touched] -= RATE * np.sqrt(len(part)) * g / np.sqrt(seen[touched])
             grid = np.full(width * LENGTH, -1)
@@ -210,20 +238,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, size: int = SAMPLE, labels: int = LABELS) -> list[tuple[str, str]]:
-    """(text, lang) of at most `size` documents of each of at most `labels` languages that are not held out."""
+def threshold(n: int, size: int) -> int:
+    """The 63-bit hash below which about 3 * size of n documents lie; never 0."""
+    return max(1, min(2**63 - 1, int(2**63 * (3 * size / n)))) if n > 3 * size else 2**63 - 1
+
+
+def sample(docs: DataFrame, size: int = SAMPLE, total: int = TOTAL) -> list[tuple[list[list[str]], str]]:
+    """(pieces, lang) of at most `size` documents of each language, fewer where languages are over total / size, that are not held out.
+
+    Of rows that share a doc_id one is taken. What reaches the driver is bounded: `size` documents of each
+    language, PIECES * PIECE words of each, LONGEST characters of a word.
+    """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    keys = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    names = [r.lang for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()]
-    # The share of a language that is sampled follows from its count, so that few rows are ranked.
-    some = keys.where(F.col("lang").isin(names)).groupBy("lang").agg(F.count("*").alias("n"))
-    share = {r.lang: min(1.0, 3 * size / r.n) for r in some.collect()}
-    if not share:
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return []
-    cut = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 2**20))])
-    near = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2**20)) < F.try_element_at(cut, F.col("lang"))).select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("rank") <= size)
-    return sorted((r.text, r.lang) for r in ranked.select("text", "lang").collect())
+    size = max(1, min(size, total // len(counts)))
+    # The share of a language that is looked at follows from its count, so that few rows are ranked.
+    cut = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, threshold(n, size))])
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.list_(pa.string()))
+        yield pa.record_batch([*batch.columns[:3], pa.array([pieces_of(t) for t in batch.column(3).to_pylist()], kind)], ["lang", "h", "doc_id", "pieces"])
+
+    near = rows.where(F.col("h") <= F.try_element_at(cut, F.col("lang"))).select("lang", "h", "doc_id", "text")
+    near = map_batches(near, work, "lang string, h long, doc_id long, pieces array<array<string>>")
+    near = near.groupBy("lang", "h", "doc_id").agg(F.min("pieces").alias("pieces"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= size)
+    return sorted((r.pieces, r.lang) for r in ranked.select("pieces", "lang").collect())
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -234,10 +277,9 @@ def identified(docs: DataFrame) -> DataFrame:
     columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark, 4000, 24)  # many texts at once share words and steps
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     field = fit(sample(docs))
-    packed = spark.sparkContext.broadcast(field)  # its size is fixed by BUCKETS and LABELS and the sample's lexicon
+    packed = spark.sparkContext.broadcast(field)  # its size is bounded by WEIGHTS and the words of the sample
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         field = packed.value
@@ -250,7 +292,7 @@ def identified(docs: DataFrame) -> DataFrame:
                 names[k], scores[k] = field.labels[best], float(min(1.0, mean[best]))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return map_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), work, "doc_id long, held_out boolean, lang_pred string, score double", 4000, 24)  # many texts at once share words and steps
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm import bpe
-from pagegraph.llm.common import map_batches, small_batches, table
+from pagegraph.llm.common import map_batches, table
 
 BLOCK = 64
 
@@ -157,7 +157,6 @@ def edited_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     Repeated rows, and rows without a doc_id, are each counted. Extra columns are not read.
     """
     path = path or bpe.default_path()
-    small_batches(docs.sparkSession)
     names = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pieces_encoded"]
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import map_batches, small_batches, table
+from pagegraph.llm.common import map_batches, table
 
 LONG, GAP, SHARE = 4, 12, 0.6
 
@@ -217,7 +217,6 @@ def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phra
     scanned. The score is 1 where a base phrase stands, else the largest share of a template that a
     chain covers. Extra columns are not read.
     """
-    small_batches(docs.sparkSession)
     key = tuple(templates), tuple(phrases.items())
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])

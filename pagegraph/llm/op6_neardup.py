@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, components, drop_table, map_batches, small_batches, table, written
+from pagegraph.llm.common import attach, components, drop_table, map_batches, table, written
 from pagegraph.llm.shingles import mixed, shingle_sets, signatures
 
 CHUNKS, CHUNK, ERRORS = 12, 4, 1
@@ -299,7 +299,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     document whose links are those of all its rows. Null doc_id: the row gets the component of
     documents with the same set, null if there is none. Extra columns are not read.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(profile(docs), "op6-profile")
     sets = rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))

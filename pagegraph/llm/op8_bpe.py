@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm import bpe
-from pagegraph.llm.common import map_batches, small_batches, table
+from pagegraph.llm.common import map_batches, table
 
 LEAF = 8192
 
@@ -43,7 +43,6 @@ def encoder(path: str | None, leaf: int = LEAF) -> Callable[[pa.RecordBatch], It
 
 def encoded(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """doc_id and ids of each row of documents (doc_id, text); a null text is empty."""
-    small_batches(docs.sparkSession)
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), encoder(path, leaf), "doc_id long, ids array<int>")
 
 
@@ -65,7 +64,6 @@ def round_trip(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> Da
     are each encoded. Extra columns are not read.
     """
     path = path or bpe.default_path()
-    small_batches(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.load(path)

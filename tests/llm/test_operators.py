@@ -1,12 +1,16 @@
 """Operators on small fixtures: nulls, empty and repeated rows, ties, clashing extra columns, empty tables; brute force where SQL has no twin."""
 
 import hashlib
+import os
 import random
 import re
+from itertools import pairwise, product
 
+import numpy as np
 import pytest
 
 from pagegraph.llm import bpe, op1_warc, op2_langid, op3_edits, op4_quality, op5_licenses, op6_neardup, op7_urls, op8_bpe, op9_secrets, op10_decontaminate
+from pagegraph.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, fp1 string, key int, base string"
 PROSE = [f"w{k}{'abcdefghij'[k % 10]}" for k in range(400)]
@@ -70,6 +74,40 @@ def test_neardup_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
 
 
+def test_neardup_large_group(spark):
+    """A group of 2000 near copies whose similarities lie around 0.75, against links by full sets."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"x{k}" for k in range(5000)])
+    base = rng.choice(words, 90, replace=False)
+    texts = []
+    for _ in range(2000):
+        copy = base.copy()
+        for k in rng.choice(90, rng.integers(1, 4), replace=False):
+            copy[k] = rng.choice(words)
+        texts.append(" ".join(copy))
+    sets = shingle_sets(texts)
+    n = np.array([len(s) for s in sets])
+    same = op6_neardup.shared_counts(sets, sets)
+    a, b = np.nonzero(100 * same >= 75 * (n[:, None] + n[None, :] - same))
+    root = np.arange(len(sets))
+    while True:  # the smallest label of the neighbours, until nothing changes
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        if (low == root).all():
+            break
+        root = low
+    assert len(set(root)) > 20  # documents apart from the group exist
+    got = op6_neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root.tolist()))
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[12:]] for x in sets[:12]]
+    assert all((op6_neardup.shared_counts(sets[:12], sets[12:], width) == want).all() for width in (3, 8192))
+
+
 def test_quality(docs, empty):
     rows = op4_quality.quality(docs).collect()
     got = {r.doc_id: r for r in rows}
@@ -180,6 +218,67 @@ def test_language(spark, docs, empty):
     assert op2_langid.identified(empty).count() == 0
 
 
+def test_language_letters(spark):
+    """Numbers are no letters; marks belong to the letters they stand on."""
+    assert op2_langid.words_of("½ ² Ⅷ 12 _") == [] and op2_langid.words_of("हिन्दी Ünï x2y") == ["हिन्दी", "ünï", "x", "y"]
+    rows = [(k, "ein wort und noch eins", "de") for k in range(20)] + [(90, "½ ² Ⅷ", "de")]
+    got = {r.doc_id: r for r in op2_langid.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[90].lang_pred == "und" and got[90].score == 0 and got[1].lang_pred == "de"
+
+
+def test_language_sample_of_large_counts():
+    """However many documents a language has, some of them lie below the threshold."""
+    assert op2_langid.threshold(100, 300) == 2**63 - 1
+    for n in (10**6, 5 * 10**9, 10**14, 10**30):
+        assert op2_langid.threshold(n, 300) >= 1
+    assert op2_langid.threshold(5 * 10**9, 300) / 2**63 == pytest.approx(900 / (5 * 10**9), rel=1e-6)
+
+
+def test_language_forward_backward():
+    """Marginals and expected transitions against all sequences of labels; marginals of long texts in parts."""
+    rng = np.random.default_rng(3)
+    times, labels = 5, 3
+    emit, move = rng.normal(size=(times, 1, labels)), rng.normal(size=(labels, labels))
+    weights = {}
+    for path in product(range(labels), repeat=times):
+        weights[path] = np.exp(sum(emit[t, 0, x] for t, x in enumerate(path)) + sum(move[a, b] for a, b in pairwise(path)))
+    z = sum(weights.values())
+    marginal, pairs = op2_langid.forward_backward(emit, move, np.ones((times, 1), bool))
+    want = np.array([[sum(w for p, w in weights.items() if p[t] == x) / z for x in range(labels)] for t in range(times)])
+    assert np.allclose(marginal[:, 0], want)
+    wanted = [[sum(w * sum(pq == (a, b) for pq in pairwise(p)) for p, w in weights.items()) / z for b in range(labels)] for a in range(labels)]
+    assert np.allclose(pairs, wanted)
+    field = op2_langid.Field(["a", "b", "c"], np.zeros((256, 3), np.float32), move, set())
+    words, ids = rng.normal(size=(7, 3)), rng.integers(0, 7, (40, 2))
+    mask = np.ones((40, 2), bool)
+    mask[25:, 1] = False
+    whole = field.means(words, ids, mask)
+    full, _ = op2_langid.forward_backward(words[ids], move, mask)
+    assert np.allclose(whole, (full * mask[:, :, None]).sum(0) / mask.sum(0)[:, None], atol=1e-4)
+    steps, op2_langid.STEPS = op2_langid.STEPS, 6
+    try:
+        assert np.allclose(field.means(words, ids, mask), whole, atol=1e-5)
+    finally:
+        op2_langid.STEPS = steps
+
+
+def test_language_code_switched():
+    """Words of a text that changes its language are labelled by their own language."""
+    rng = random.Random(6)
+    words = {"xx": ["bana", "mola", "tika", "sora"], "yy": ["grosch", "pfund", "werst", "knopf"]}
+    field = op2_langid.fit([(op2_langid.pieces_of(" ".join(rng.choices(words[k], k=60))), k) for _ in range(40) for k in words])
+    text = [rng.choice(words[k]) for k in ["xx"] * 12 + ["yy"] * 9 + ["xx"] * 7]
+    marginal, _ = op2_langid.forward_backward(field.emissions(text)[:, None, :].astype(float), field.move, np.ones((len(text), 1), bool))
+    assert [field.labels[k] for k in marginal[:, 0].argmax(1)] == ["xx"] * 12 + ["yy"] * 9 + ["xx"] * 7
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = op2_langid.op2_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 200 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
 def test_archives(spark):
     big = "<p>" + "é" * 600 + "</p>\r\n\r\nWARC/1.1\n"
     rows = [(1, "http://a/x y", big), (2, None, big), (3, "", "small"), (4, "http://b", "small"), (5, "http://c", None), (None, "http://d", big), (7, "http://e", "z" * 1000), (7, "http://e", "z" * 1000)]

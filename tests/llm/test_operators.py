@@ -361,6 +361,98 @@ def test_decontamination_places(spark):
     assert all(got[k].n_matched == got[k].n_windows and got[k].n_conflicts == 0 for k in (1, 2, None, 5))
 
 
+def test_decontamination_units(spark):
+    """Attached units, per cent, currencies and names at the start of a sentence are slots, however they are written."""
+    items = [
+        "Natalia ran 5km in 30 minutes on Monday and then she walked home with 20% of the day still left for her other plans",
+        "Marco paid $5 for two pens and then 3 dollars for one small pad of paper so how much did he spend on all of it",
+        "Priya drove 12 miles in 2 hours and rested for 1 hour before she went on to the next town on her long way",
+    ]
+    texts = [
+        "Natalia ran 9km in 45 minutes on Friday and then she walked home with 35% of the day still left for her other plans",
+        "so: Ines ran 9 km in 45 minutes on Friday and then she walked home with 35 percent of the day still left for her other plans",
+        "Nora paid 7 dollars for two pens and then $4 for one small pad of paper so how much did he spend on all of it",
+        "Omar drove 30 miles in 1 hour and rested for 2 hours before she went on to the next town on her long way",
+        "Omar drove home and rested for a while before he went on",
+    ]
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in op10_decontaminate.leaks(docs, items).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2)}
+    assert all(r.n_matched == r.n_windows and r.n_slots > 3 for r in got.values())
+
+
+def test_decontamination_slots(spark):
+    """A template whose slots do not fit is no copy: one value for several, or several for one."""
+    text = "{} gave {} apples to {} who gave {} pears to {} and then {} ate {} plums with {} until the sun went down".format
+    item = text("Ada", 3, "Ben", 4, "Cid", "Ada", 5, "Ben")
+    fits, apart, merged = text("Eva", 6, "Fox", 7, "Gus", "Eva", 8, "Fox"), text("Eva", 6, "Fox", 7, "Gus", "Hal", 8, "Ian"), text("Eva", 6, "Eva", 6, "Eva", "Eva", 6, "Eva")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate([fits, apart, merged, fits])), "doc_id long, text string")
+    assert {r.doc_id for r in op10_decontaminate.leaks(docs, items).collect()} == {0, 3}
+
+
+def test_decontamination_shared_prompt(spark):
+    """A prompt that all items share tells nothing of them; repeated items, long texts and clashing columns are no trouble."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    prompt = " ".join(words[:30])
+    bodies = [" ".join(rng.choices(words[30:], k=14)) for _ in range(60)]
+    items = spark.createDataFrame([(k, f"{prompt} {b}", 0) for k, b in enumerate(bodies)] + [(99, f"{prompt} {bodies[5]}", 0)], "item_id long, text string, tid long")
+    filler = " ".join(rng.choices(words[30:], k=20000))
+    rows = [(1, prompt), (2, f"{prompt} {bodies[5]}"), (2, f"{prompt} {bodies[5]}"), (3, f"{filler} {bodies[7]} {filler}"), (4, filler)]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, row long, item_id string")
+    held = {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, items).collect()}
+    assert held == {(2, 5), (2, 99), (3, 7)}
+    old = op10_decontaminate.BROADCAST_ROWS, op10_decontaminate.SEARCHED
+    op10_decontaminate.BROADCAST_ROWS, op10_decontaminate.SEARCHED = 10, 10  # the plans of larger benchmarks give the same
+    try:
+        assert {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, items).collect()} == held
+    finally:
+        op10_decontaminate.BROADCAST_ROWS, op10_decontaminate.SEARCHED = old
+
+
+def test_decontamination_brute_force(spark):
+    """Verbatim and re-parameterised copies, and parts of items, against the rule applied to plain lists."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 7))) for _ in range(80)]
+    some = lambda n: [str(rng.randint(1, 99)) if rng.random() < 0.2 else rng.choice(words) for _ in range(n)]
+    items = [some(rng.choice([3, 7, 8, 20, 40])) for _ in range(25)] + [["1", "2", "3", "4"]]
+    docs = []
+    for _ in range(120):
+        item = rng.choice(items)
+        at, end = sorted((rng.randint(0, len(item)), rng.randint(0, len(item))))
+        mapped = {x: str(rng.randint(100, 999)) for x in item if x.isdigit()} if rng.random() < 0.5 else {}
+        docs.append([*some(rng.randint(0, 15)), *[mapped.get(x, x) for x in rng.choice([item, item[at:end]])], *some(rng.randint(0, 15))])
+    kind = lambda x: "#" if x.isdigit() else x
+
+    def windows(v, k):
+        return [tuple(v[i : i + k]) if all(x.isdigit() for x in v[i : i + k]) else tuple(map(kind, v[i : i + k])) for i in range(len(v) - k + 1)]
+
+    want = set()
+    for n, item in enumerate(items):
+        k = min(8, len(item))
+        theirs = windows(item, k)
+        for d, doc in enumerate(docs):
+            mine = windows(doc, k)
+            places = [[(i, p) for i, x in enumerate(theirs) for p, y in enumerate(mine) if x == y and p - i == at] for at in range(-len(item), len(doc))]
+            for hits in places:
+                if not (2 * len(hits) >= len(theirs) or len(hits) >= 12):
+                    continue
+                values = {}
+                for i, p in hits:
+                    for x, y in zip(item[i : i + k], doc[p : p + k]):
+                        if x.isdigit():
+                            values.setdefault(x, set()).add(y)
+                lost = len(values) - len({min(v) for v in values.values()})
+                if 5 * sum(len(v) > 1 for v in values.values()) <= len(values) and 2 * lost <= len(values):
+                    want.add((d, n))
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(rows)], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert len(want) > 40 and want <= got
+    assert len(got - want) <= 0.1 * len(want)  # held in other ways than word for word
+
+
 def test_decontamination_items_without_id(spark):
     texts = [" ".join(PROSE[k : k + 20]).translate(str.maketrans("0123456789", "klmnopqrst")) for k in (0, 100)]
     items = spark.createDataFrame([(1, texts[0]), (None, texts[1])], "item_id long, text string")

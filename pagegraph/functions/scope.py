@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagegraph.functions.urls import split_url, strip_port
+from pagegraph.functions.urls import let, split_url, strip_port, with_parts
 
 
 def host_of(url: Column) -> Column:
@@ -16,20 +16,22 @@ def host_of(url: Column) -> Column:
 
 def exact_origin(url: Column, seed: Column) -> Column:
     """Same scheme, host and port, whatever the case; a default port written out is another origin."""
-    a, b = split_url(url), split_url(seed)
-    return (a.scheme == b.scheme) & (F.lower(a.host) == F.lower(b.host))
+    return with_parts(url, lambda a: with_parts(seed, lambda b: (a.scheme == b.scheme) & (F.lower(a.host) == F.lower(b.host))))
+
+
+def under(host: Column, root: Column) -> Column:
+    return (host == F.lower(root)) | host.endswith(F.concat(F.lit("."), F.lower(root)))
 
 
 def subdomain(url: Column, root: Column) -> Column:
     """The host is the root domain or under it; ports and schemes do not matter."""
-    host = strip_port(host_of(url))
-    return (host == F.lower(root)) | host.endswith(F.concat(F.lit("."), F.lower(root)))
+    return let(strip_port(host_of(url)), lambda host: under(host, root))
 
 
 def allow_deny(url: Column, allow: list[str], deny: list[str]) -> Column:
     """Deny wins; an empty allow list lets everything in; both reach subdomains."""
-    under = lambda names: reduce(lambda a, b: a | b, [subdomain(url, F.lit(n)) for n in names], F.lit(False))
-    return ~under(deny) & (under(allow) if allow else F.lit(True))
+    some = lambda host, names: reduce(lambda a, b: a | b, [under(host, F.lit(n)) for n in names], F.lit(False))
+    return let(strip_port(host_of(url)), lambda host: ~some(host, deny) & (some(host, allow) if allow else F.lit(True)))
 
 
 def patterns(url: Column, include: list[str], exclude: list[str]) -> Column:

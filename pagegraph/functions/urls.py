@@ -1,11 +1,13 @@
 """URL functions as column expressions: split, canonicalise, resolve, scope keys.
 
-All stay inside code generation: no Python runs. A URL is cut by the generic-syntax pattern rather than
-by parse_url, which rejects what crawled pages hold.
+No Python runs. A URL is cut by the generic-syntax pattern rather than by parse_url, which rejects what
+crawled pages hold. It is cut once: what is used more than once is the argument of a lambda, so that an
+expression grows with its parts and not with their product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -31,11 +33,23 @@ class Url:
         return F.regexp_replace(self.authority, "^//(?:[^@]*@)?", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def split_url(url: Column) -> Url:
+    """The parts of a URL, each found on its own: for expressions that use one or two of them."""
     part = lambda k: F.regexp_extract(url, PARTS, k)
     return Url(F.lower(part(1)), part(2), part(3), part(4), part(5))
 
 
+def with_parts(url: Column, body: Callable[[Url], Column]) -> Column:
+    """body of the parts of a URL, which is cut once."""
+    cut = F.split(F.regexp_replace(url, PARTS, "$1\0$2\0$3\0$4\0$5"), "\0", -1)
+    return let(cut, lambda p: body(Url(F.lower(F.get(p, 0)), *[F.get(p, k) for k in range(1, 5)])))
+
+
 def encode_path(path: Column) -> Column:
     """Percent-encodes a decoded path."""
     out = F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
@@ -49,10 +63,9 @@ def decode_path(path: Column) -> Column:
     return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def parsable(url: Column) -> Column:
+def parsable(url: Column, u: Url, host: Column) -> Column:
     """False for control characters, broken escapes before the query, and ports that are not numbers."""
-    before = F.regexp_extract(url, "(?s)^([^?#]*)", 1)
-    bad = url.rlike("[\\x00-\\x1F\\x7F]") | before.rlike("%(?![0-9A-Fa-f]{2})") | split_url(url).host.rlike("(:[^0-9\\]]+$| )") | url.startswith(":")
+    bad = url.rlike("[\\x00-\\x1F\\x7F]") | F.concat(u.authority, u.path).rlike("%(?![0-9A-Fa-f]{2})") | host.rlike("(:[^0-9\\]]+$| )") | url.startswith(":")
     return ~bad
 
 
@@ -83,55 +96,57 @@ def sorted_query(query: Column) -> Column:
 def canonicalize(url: Column, strict: bool = True, sort_query: bool = False) -> Column:
     """One spelling for a URL: lower-case scheme and host, no default port (strict), decoded and re-encoded
     path without trailing slashes, no fragment, no bare question mark. What can't be parsed stays."""
-    u = split_url(url)
-    user = F.regexp_extract(u.authority, "^//([^@]*@)", 1)
-    host = F.lower(u.host)
-    if strict:
-        host = strip_default_port(u.scheme, host)
-    raw = decode_path(u.path)
-    path = F.regexp_replace(raw, "/+$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(encode_path(path))
-    query = F.regexp_replace(u.query, "^\\?$", "")
-    if sort_query:
-        query = F.when(query == "", query).otherwise(F.concat(F.lit("?"), sorted_query(F.substring(query, 2, 2**30))))
-    scheme = F.when(u.scheme == "", "").otherwise(F.concat(u.scheme, F.lit(":")))
-    opaque = (u.scheme != "") & (u.authority == "") & ~u.path.startswith("/")
-    whole = F.concat(scheme, F.when(u.authority == "", "").otherwise(F.concat(F.lit("//"), user, host)), path, query)
-    return F.when(~parsable(url) | raw.isNull(), url).when(opaque, F.concat(scheme, u.path, query)).otherwise(whole)
+
+    def made(u: Url, host: Column, raw: Column) -> Column:
+        user = F.regexp_extract(u.authority, "^//([^@]*@)", 1)
+        name = strip_default_port(u.scheme, F.lower(host)) if strict else F.lower(host)
+        path = let(F.rtrim(raw, F.lit("/")), lambda x: F.when(x == "", F.lit("/")).otherwise(encode_path(x)))
+        query = F.when(u.query == "?", "").otherwise(u.query)
+        if sort_query:
+            query = F.when(query == "", query).otherwise(F.concat(F.lit("?"), sorted_query(F.substring(query, 2, 2**30))))
+        scheme = F.when(u.scheme == "", "").otherwise(F.concat(u.scheme, F.lit(":")))
+        opaque = (u.scheme != "") & (u.authority == "") & ~u.path.startswith("/")
+        whole = F.concat(scheme, F.when(u.authority == "", "").otherwise(F.concat(F.lit("//"), user, name)), path, query)
+        return F.when(~parsable(url, u, host) | raw.isNull(), url).when(opaque, F.concat(scheme, u.path, query)).otherwise(whole)
+
+    return with_parts(url, lambda u: let(u.host, lambda host: let(decode_path(u.path), lambda raw: made(u, host, raw))))
 
 
 def without_dots(path: Column) -> Column:
     """The path without . and .. segments."""
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
 
     def step(a: Column, s: Column) -> Column:
         up = F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
         return F.when(s == ".", a).when(s == "..", up).otherwise(F.concat(a, F.array(s)))
 
-    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
-    out = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
-    return F.when(path.rlike("(^|/)\\.\\.?(/|$)"), F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))).otherwise(path)
+    def made(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+        out = F.array_join(F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+        return F.concat(F.when(out.startswith("/"), "").otherwise("/"), out)
+
+    return let(path, lambda x: F.when(x.rlike("(^|/)\\.\\.?(/|$)"), let(F.split(x, "/"), made)).otherwise(x))
 
 
 def written_path(path: Column) -> Column:
     """A path as it is serialised: as it stands if all its characters may, else decoded and encoded."""
-    return F.when(path.rlike("^[A-Za-z0-9._~!$&'()*+,;=:@%/\\[\\]-]*$"), path).otherwise(encode_path(decode_path(path)))
+    return let(path, lambda x: F.when(x.rlike("^[A-Za-z0-9._~!$&'()*+,;=:@%/\\[\\]-]*$"), x).otherwise(encode_path(decode_path(x))))
 
 
 def resolve(base: Column, ref: Column) -> Column:
     """ref against base by the generic-syntax rules, without fragment."""
-    b, r = split_url(base), split_url(ref)
-    folder = F.regexp_replace(b.path, "[^/]*$", "")
-    merged = F.when((b.authority != "") & (b.path == ""), F.concat(F.lit("/"), r.path)).otherwise(F.concat(folder, r.path))
-    own = (r.scheme != "") | (r.authority != "")
-    scheme = F.when(r.scheme != "", r.scheme).otherwise(b.scheme)
-    authority = F.when(own, r.authority).otherwise(b.authority)
-    path = F.when(own | r.path.startswith("/"), without_dots(r.path)).when(r.path == "", b.path).otherwise(without_dots(merged))
-    query = F.when(own | (r.path != "") | (r.query != ""), r.query).otherwise(b.query)
-    opaque = (r.scheme != "") & (r.authority == "") & ~r.path.startswith("/")
-    whole = F.concat(scheme, F.when(scheme == "", "").otherwise(F.lit(":")), authority, written_path(path), query)
-    return F.when(opaque, F.concat(r.scheme, F.lit(":"), r.path, r.query)).otherwise(whole)
+
+    def made(b: Url, r: Url) -> Column:
+        merged = F.concat(F.when((b.authority != "") & (b.path == ""), F.lit("/")).otherwise(F.regexp_replace(b.path, "[^/]*$", "")), r.path)
+        own = (r.scheme != "") | (r.authority != "")
+        scheme = F.when(r.scheme != "", r.scheme).otherwise(b.scheme)
+        authority = F.when(own, r.authority).otherwise(b.authority)
+        path = F.when(~own & (r.path == ""), b.path).otherwise(without_dots(F.when(own | r.path.startswith("/"), r.path).otherwise(merged)))
+        query = F.when(own | (r.path != "") | (r.query != ""), r.query).otherwise(b.query)
+        opaque = (r.scheme != "") & (r.authority == "") & ~r.path.startswith("/")
+        whole = F.concat(scheme, F.when(scheme == "", "").otherwise(F.lit(":")), authority, written_path(path), query)
+        return F.when(opaque, F.concat(r.scheme, F.lit(":"), r.path, r.query)).otherwise(whole)
+
+    return with_parts(base, lambda b: with_parts(ref, lambda r: made(b, r)))
 
 
 def skippable(href: Column) -> Column:
@@ -144,8 +159,7 @@ def strip_port(host: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    u = split_url(url)
-    return F.concat(u.scheme, F.lit("://"), u.host)
+    return with_parts(url, lambda u: F.concat(u.scheme, F.lit("://"), u.host))
 
 
 def query_key_count(url: Column) -> Column:

@@ -15,14 +15,15 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int = 0)
     Every level is written to the shared folder, so the plan of a level holds one join, one minimum per
     page and one anti-join, whatever the depth. max_pages (0: none) cuts in the order of discovery.
     """
-    level = written(seeds.select("url").distinct().select("url", F.lit(None).cast(seeds.schema["url"].dataType).alias("parent"), F.lit(0).alias("depth"), F.col("url").cast("string").alias("place")), "bfs")
+    level = written(seeds.select("url").distinct().orderBy("url").select("url", F.lit(None).cast(seeds.schema["url"].dataType).alias("parent"), F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("place")), "bfs")
     seen = level
     for depth in range(1, max_depth + 1):
         reached = level.select(F.col("url").alias("src"), F.col("place").alias("parent_place")).join(edges, "src")
         first = reached.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("parent_place", "ord", "src")).alias("f"))
         new = first.join(seen.select("url"), "url", "left_anti")
-        new = new.select("url", F.col("f.src").alias("parent"), F.lit(depth).alias("depth"), F.concat_ws("/", "f.parent_place", F.lpad(F.col("f.ord").cast("string"), 9, "0")).alias("place"))
-        level = written(new, "bfs")
+        new = new.select("url", F.col("f.src").alias("parent"), F.lit(depth).alias("depth"), "f.parent_place", "f.ord")
+        # Sorted by ranges, partitions and the numbers in them follow the order of discovery.
+        level = written(new.orderBy("parent_place", "ord", "url").select("url", "parent", "depth", F.monotonically_increasing_id().alias("place")), "bfs")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -42,17 +43,25 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int = 0)
 
 
 def redirect_chains(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(src, final, hops, looped) of redirects src -> dst, one per source; a chain of more hops than `most` is looped."""
-    now = edges.select("src", F.col("dst").alias("final"), F.lit(1).alias("hops"))
-    done = None
-    for _ in range(most):
-        step = written(now.join(edges.select(F.col("src").alias("final"), "dst"), "final", "left"), "redirects")
-        ended = step.where("dst is null").select("src", "final", "hops", F.lit(False).alias("looped"))
-        done = ended if done is None else done.union(ended)
-        now = step.where("dst is not null").select("src", F.col("dst").alias("final"), (F.col("hops") + 1).alias("hops"))
-        if now.isEmpty():
-            return done
-    return done.union(now.select("src", "final", "hops", F.lit(True).alias("looped")))
+    """(src, final, hops, looped) of redirects src -> dst, one per source; a chain of more hops than `most` is looped.
+
+    Jumps of 1, 2, 4, ... hops, which stop at a chain's end, are joined to one of most + 1 hops: the number of joins
+    grows with the logarithm of `most`. A looped chain's final is where that many hops lead.
+    """
+
+    def joined(one: DataFrame, two: DataFrame) -> DataFrame:
+        further = two.select(F.col("src").alias("final"), F.col("final").alias("next"), F.col("hops").alias("more"))
+        return one.join(further, "final", "left").select("src", F.coalesce("next", "final").alias("final"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+
+    jump = edges.select("src", F.col("dst").alias("final"), F.lit(1).alias("hops"))
+    out, left = None, most + 1
+    while left:
+        if left % 2:
+            out = jump if out is None else joined(out, jump)
+        left //= 2
+        if left:
+            jump = written(joined(jump, jump), "redirects")
+    return out.select("src", "final", "hops", (F.col("hops") > most).alias("looped"))
 
 
 def chain(spark: SparkSession, prefix: str, n: int) -> DataFrame:

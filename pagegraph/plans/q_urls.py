@@ -203,7 +203,8 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, ord, href, target) of the anchors of each page, in order; hrefs that lead nowhere are left out."""
     rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("ord", "href"))
     rows = rows.select("page_id", "url", (F.col("ord") + 1).alias("ord"), F.replace("href", F.lit("&amp;"), F.lit("&")).alias("href"))
-    return rows.where(~urls.skippable(F.col("href"))).withColumn("target", urls.resolve(F.col("url"), F.col("href")))
+    # The generator keeps what follows above it: filters and columns read the target, and do not resolve it anew.
+    return rows.where(~urls.skippable(F.col("href"))).select("*", F.inline(F.array(F.struct(urls.resolve(F.col("url"), F.col("href")).alias("target")))))
 
 
 @R.add("links_a", f"{LINK_SQL} SELECT page_id, ord::INTEGER AS ord, href, target FROM z")
@@ -216,11 +217,9 @@ def flagship_host_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per host: pages with links, URLs found, different ones in scope, and duplicates."""
     rows = page_links(spark, sf_dir).where(scope.exact_origin(F.col("target"), F.col("url")))
     rows = rows.select("page_id", scope.host_of(F.col("url")).alias("host"), urls.canonicalize(F.col("target")).alias("target"))
-    # One shuffle by (host, target), then a small one by host: map-side sums, no distinct over all rows.
-    per_target = rows.groupBy("host", "target").agg(F.count("*").alias("n"))
-    pages = rows.groupBy("host").agg(F.count_distinct("page_id").alias("pages"))
-    out = per_target.groupBy("host").agg(F.sum("n").alias("urls_discovered"), F.count("*").alias("urls_unique"))
-    return out.join(pages, "host").select("host", "pages", "urls_discovered", "urls_unique", (F.col("urls_discovered") - F.col("urls_unique")).alias("duplicates_rejected"))
+    # One scan: rows are dealt by host and value, which are different ones after the first sums, so a hot host is no single task.
+    out = rows.groupBy("host").agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("urls_discovered"), F.count_distinct("target").alias("urls_unique"))
+    return out.withColumn("duplicates_rejected", F.col("urls_discovered") - F.col("urls_unique"))
 
 
 @R.add("urls_discovered", f"{LINK_SQL} SELECT count(*) AS urls_discovered, count(DISTINCT target) AS urls_unique FROM z")
@@ -256,9 +255,9 @@ def first_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("url", F.col("f.page_id").alias("parent"), F.col("f.ord").cast("long").alias("ord"))
 
 
-@R.add("seed_frontier", f"WITH x AS (SELECT page_id, 1 AS v, url AS u FROM pages WHERE page_id < 10), p AS ({PARTS_SQL}), c AS ({CANON_SQL}) SELECT DISTINCT concat(sc, '://', hs, pc, qc) AS url, '' AS parent_url, 0 AS depth, 'seed' AS via FROM c")
+@R.add("seed_frontier", f"WITH x AS (SELECT page_id, 1 AS v, url AS u FROM pages), p AS ({PARTS_SQL}), c AS ({CANON_SQL}) SELECT DISTINCT concat(sc, '://', hs, pc, qc) AS url, '' AS parent_url, 0 AS depth, 'seed' AS via FROM c")
 def seed_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "pages").where("page_id < 10").select(urls.canonicalize(F.col("url")).alias("url")).distinct()
+    seeds = table(spark, sf_dir, "pages").select(urls.canonicalize(F.col("url")).alias("url")).distinct()
     return seeds.select("url", F.lit("").alias("parent_url"), F.lit(0).alias("depth"), F.lit("seed").alias("via"))
 
 

@@ -10,9 +10,9 @@ CONTENT = ["html", "javascript", "json", "xml"]
 
 
 def retry_after_ms(header: Column) -> Column:
-    """Seconds in a Retry-After header as milliseconds; dates and negative numbers do not count."""
-    value = F.when(header.rlike("^[0-9]+([.][0-9]+)?$"), header.cast("double"))
-    return F.coalesce(F.round(value * 1000).cast("long"), F.lit(0))
+    """Seconds in a Retry-After header, in any decimal notation, as milliseconds; dates and negative numbers do not count."""
+    number = F.when(header.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), header.try_cast("double"))
+    return F.coalesce(F.when(number >= 0, F.round(F.least(number, F.lit(9e15)) * 1000).cast("long")), F.lit(0).cast("long"))
 
 
 def retry_delay_cap_ms(attempt: Column, header: Column) -> Column:

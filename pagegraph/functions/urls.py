@@ -65,7 +65,7 @@ def decode_path(path: Column) -> Column:
 
 def parsable(url: Column, u: Url, host: Column) -> Column:
     """False for control characters, broken escapes before the query, and ports that are not numbers."""
-    bad = url.rlike("[\\x00-\\x1F\\x7F]") | F.concat(u.authority, u.path).rlike("%(?![0-9A-Fa-f]{2})") | host.rlike("(:[^0-9\\]]+$| )") | url.startswith(":")
+    bad = url.rlike("[\\x00-\\x1F\\x7F]") | F.concat(u.authority, u.path).rlike("%(?![0-9A-Fa-f]{2})") | host.rlike("(:[^:\\]]*[^0-9:\\]][^:\\]]*$| )") | url.startswith(":")
     return ~bad
 
 

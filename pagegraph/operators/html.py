@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript"}
 LINKS = {"a": ("href", "a_href", True), "link": ("href", "link_href", True), "script": ("src", "script_src", False), "img": ("src", "img_src", False), "iframe": ("src", "iframe_src", True), "button": ("formaction", "button_formaction", True)}
 DATA = ["data-href", "data-url", "data-link", "data-action"]
-#: Values of required fields that are empty.
+#: What required fields without a value are filled with, by type.
 DEFAULTS = {
     "text": "test", "search": "test", "email": "test@example.com", "password": "Test1234!", "number": "1", "range": "1", "url": "http://example.com",
     "tel": "1234567890", "date": "2024-01-01", "time": "12:00", "color": "#000000",
 }
+#: Finds, and characters of pages, after which a batch goes on.
+FULL, READ = 5000, 4 << 20
 SCHEMA = "page_id long, ord int, kind string, source string, value string, method string, params array<struct<name:string,value:string>>, base array<struct<name:string,value:string>>"
 
 
@@ -117,17 +119,26 @@ def discoveries(pages: DataFrame) -> DataFrame:
     pair = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pair, pair]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")][:6] + ["params", "base"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows: list[tuple] = []
+            read = 0
+            for page, text in zip(batch.column(0), batch.column(1), strict=True):
+                page, html = page.as_py(), text.as_py() or ""
+                read += len(html)
                 parser = Tokens()
-                parser.feed(html or "")
+                parser.feed(html)
                 parser.close()
                 parser.finish_form()
                 found = parser.found + ([("base", "base", parser.base, "", [], [])] if parser.base else [])
                 rows += [(page, k, *f) for k, f in enumerate(found)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")][:6] + ["params", "base"])
+                if rows and (len(rows) >= FULL or read >= READ):
+                    yield made(rows)
+                    rows, read = [], 0
+            if rows:
+                yield made(rows)
 
     return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, SCHEMA)

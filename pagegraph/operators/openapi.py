@@ -16,11 +16,17 @@ PLACES = [
     "/api/swagger.json", "/api/v1/openapi.json", "/v1/openapi.json", "/v1/swagger.json", "/swagger/v1/swagger.json", "/docs/openapi.json", "/spec/openapi.json", "/swagger-ui.html", "/redoc",
 ]
 VERBS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
+#: Endpoints after which a batch goes on.
+FULL = 2000
 SCHEMA = "source_url string, ord int, url string, method string, path_params array<string>, query_params array<string>, body_params array<string>, raw_path string"
 
 
 def loaded(body: str) -> dict | None:
-    """The document's tree with text keys; null if it is neither JSON nor YAML with paths."""
+    """The document's tree with text keys; null if it is neither JSON nor YAML, or no API document.
+
+    It is one of version 2 if swagger is a text that is not empty, else of version 3 if openapi is a text that starts
+    with 3. or there are paths. A YAML number such as an unquoted 2.0 is no text.
+    """
     try:
         tree = json.loads(body)
     except ValueError:
@@ -33,7 +39,16 @@ def loaded(body: str) -> dict | None:
     if not isinstance(tree, dict):
         return None
     tree = json.loads(json.dumps(tree, default=str))
-    return tree if tree.get("swagger") or tree.get("openapi") or "paths" in tree else None
+    return tree if is_second(tree) or str_of(tree, "openapi").startswith("3.") or tree.get("paths") is not None else None
+
+
+def str_of(tree: dict, name: str) -> str:
+    value = tree.get(name)
+    return value if isinstance(value, str) else ""
+
+
+def is_second(tree: dict) -> bool:
+    return str_of(tree, "swagger") != ""
 
 
 def pointed(tree: dict, node: object) -> dict:
@@ -53,8 +68,7 @@ def endpoints(source: str, tree: dict) -> list[tuple]:
     """Rows of endpoints: paths in order, verbs in VERBS' order; parameters of the operation replace those of the path."""
     parts = urlsplit(source)
     origin = f"{parts.scheme}://{parts.netloc}"
-    two = bool(tree.get("swagger"))
-    if two:
+    if is_second(tree):
         base = tree.get("basePath") or ""
     else:
         servers = tree.get("servers") or [{}]
@@ -88,13 +102,19 @@ def flattened(documents: DataFrame) -> DataFrame:
     texts = pa.list_(pa.string())
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), texts, texts, texts, pa.string()]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split(" ")[0] for c in SCHEMA.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for source, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tree = loaded(body or "")
                 rows += endpoints(source or "", tree) if tree else []
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split(" ")[0] for c in SCHEMA.split(", ")])
+                if len(rows) >= FULL:
+                    yield made(rows)
+                    rows = []
+            if rows:
+                yield made(rows)
 
     return documents.select(F.col("source_url").cast("string"), F.col("body").cast("string")).mapInArrow(run, SCHEMA)

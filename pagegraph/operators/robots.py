@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagegraph.functions.urls import decode_path, let
+
 
 def rules(files: DataFrame) -> DataFrame:
     """(host, agent, ord, path, allow) of (host, body): groups of agents, each with the rules that follow it."""
@@ -20,13 +22,18 @@ def rules(files: DataFrame) -> DataFrame:
 
 
 def allowed(urls: DataFrame, rule: DataFrame, agent: str) -> DataFrame:
-    """Adds allowed to (id, host, path): the longest rule that starts the path decides, allow wins ties, none allows.
+    """Adds allowed to (id, host, path): the longest rule that starts the decoded path decides, allow wins ties, none allows.
 
-    The rules of the agent's own group replace those of *.
+    The rules of the agent's own group replace those of *. A host's rules are one array, so a URL stays one row; an
+    empty path is /, and a path whose escapes are broken is taken as it stands.
     """
-    own = rule.where(F.col("agent") == agent.lower()).select("host").distinct().withColumn("own", F.lit(True))
-    mine = rule.join(own, "host", "left").where(F.when(F.col("own"), F.col("agent") == agent.lower()).otherwise(F.col("agent") == "*"))
-    mine = mine.select("host", F.col("path").alias("rule"), "allow")
-    hits = urls.join(mine, "host", "left").withColumn("fits", F.col("rule").isNotNull() & F.col("path").startswith(F.col("rule")))
-    best = F.max(F.when(F.col("fits"), F.struct(F.length("rule").alias("n"), "allow")))
-    return hits.groupBy("id", "host", "path").agg(F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
+    mine = rule.where(F.col("agent").isin(agent.lower(), "*")).groupBy("host", "agent").agg(F.collect_set(F.struct("path", "allow")).alias("rules"))
+    mine = mine.groupBy("host").agg(F.max_by("rules", F.col("agent") == agent.lower()).alias("rules"))  # a robots file is bounded, and so is a row
+    decoded = F.coalesce(decode_path(F.col("path")), F.col("path"))
+    path = F.when(F.coalesce(decoded, F.lit("")) == "", "/").otherwise(decoded)
+
+    def best(at: Column) -> Column:
+        fits = F.filter("rules", lambda r: at.startswith(r["path"]))
+        return F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow"))))["allow"]
+
+    return urls.join(mine, "host", "left").select("id", "host", "path", F.coalesce(let(path, best), F.lit(True)).alias("allowed"))

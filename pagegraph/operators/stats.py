@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +28,12 @@ def mad(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(middle, key).withColumn("off", F.abs(F.col(value) - F.col("middle"))).groupBy(key).agg(nearest_rank("off", 0.5).alias("mad"))
 
 
-def upper_median(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
-    """sorted[n / 2] of each key."""
+def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """sorted[n / 2] of each key; rows are counted by value first, so only different values of a key are ordered."""
+    counts = rows.groupBy(key, F.col(value).alias("x")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(key)
-    ranked = rows.withColumns({"k": F.row_number().over(w.orderBy(value, tie)), "n": F.count("*").over(w)})
-    return ranked.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(key, F.col(value).alias("median"))
+    ranked = counts.withColumns({"upto": F.sum("n").over(w.orderBy("x")), "all": F.sum("n").over(w)})
+    return ranked.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(key).agg(F.min("x").alias("median"))
 
 
 def averaged_median(value: str) -> Column:
@@ -43,7 +42,10 @@ def averaged_median(value: str) -> Column:
 
 
 def discard_warmups(rows: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") > k).drop("_n")
+    """Rows of each key after its first k: only k rows of a key are ranked, and a row's place is told by the last of them."""
+    first = rows.select(key, F.struct(*order).alias("_at")).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_at"))).where(F.col("_n") <= k)
+    last = first.groupBy(key).agg(F.max("_at").alias("_last"))
+    return rows.join(last, key).where(F.struct(*order) > F.col("_last")).drop("_last")
 
 
 def cliffs_delta(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
@@ -68,32 +70,42 @@ def magnitude(delta: Column) -> Column:
     return F.when(size < 0.147, "negligible").when(size < 0.33, "small").when(size < 0.474, "medium").otherwise("large")
 
 
+def uniform(*parts: Column) -> Column:
+    """A number between 0 and 1 that follows from the parts."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+
+def gamma(k: Column, u: Column, v: Column) -> Column:
+    """A gamma distributed number of shape k from two uniform ones: by the cube of a normal number, for shape 1 exactly."""
+    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v)
+    return F.when(k == 1, -F.ln(u)).otherwise(k * F.pow(F.greatest(1 - 1 / (9 * k) + z / (3 * F.sqrt(k)), F.lit(1e-3)), F.lit(3.0)))
+
+
 def bootstrap_ci(rows: DataFrame, key: str, group: str, value: str, resamples: int = 2000, seed: int = 1) -> DataFrame:
-    """95 % interval of the ratio of averaged medians of group b to group a, per key, from resamples of all samples at their full size.
+    """95 % interval of the median of group a less that of group b, per key, from resamples of all samples at their full size.
 
     No resample is made: of n picks with replacement the m-th smallest is the sample at rank n * u, where u is the m-th
-    smallest of n uniform numbers, which is beta distributed. Numbers follow from (seed, group, resample), so a run can be repeated.
+    smallest of n uniform numbers, which is beta distributed. The mean of the middle two of an even number is cut to a
+    whole number. Numbers follow from (seed, key, group, resample), so a run can be repeated.
     """
-
-    def ranks(n: int, name: str, r: int) -> list[int]:
-        """Ranks among the n samples of the middle two picks of a resample, the same one twice for odd n."""
-        rng, m = random.Random(f"{seed} {name} {r}"), (n + 1) // 2
-        u = rng.betavariate(m, n - m + 1)
-        v = u + (1 - u) * (1 - rng.random() ** (1 / (n - m))) if n % 2 == 0 else u  # the least of the n - m above u
-        return [min(n, int(n * x) + 1) for x in (u, v)]
-
     at = [key, group]
     counts = rows.where(F.col(group).isin("a", "b") & F.col(value).isNotNull()).groupBy(*at, F.col(value).alias("x")).agg(F.count("*").alias("n"))
     upto = counts.select(*at, F.sum("n").over(Window.partitionBy(*at).orderBy("x")).alias("rank"), "x", F.lit(None).cast("int").alias("r"))
-    draws = counts.groupBy(*at).agg(F.sum("n").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.select(*at, F.explode(F.udf(ranks, "array<bigint>")("n", group, "r")).alias("rank"), F.lit(None).cast(upto.schema["x"].dataType).alias("x"), "r")
+    draws = counts.groupBy(*at).agg(F.sum("n").cast("double").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    number = lambda k: uniform(F.lit(str(seed)), F.col(key).cast("string"), F.col(group), F.col("r").cast("string"), F.lit(str(k)))
+    draws = draws.withColumn("m", F.floor((F.col("n") + 1) / 2).cast("double")).withColumn("g", gamma(F.col("m"), number(1), number(2)))
+    draws = draws.withColumn("u", F.col("g") / (F.col("g") + gamma(F.col("n") - F.col("m") + 1, number(3), number(4))))
+    above = F.col("u") + (1 - F.col("u")) * (1 - F.pow(number(5), 1 / (F.col("n") - F.col("m"))))  # the least of the picks above u
+    ranks = F.array("u", F.when(F.col("n") % 2 == 0, above).otherwise(F.col("u")))
+    draws = draws.select(*at, F.explode(ranks).alias("u"), "n", F.lit(None).cast(upto.schema["x"].dataType).alias("x"), "r")
+    draws = draws.select(*at, F.least(F.col("n"), F.floor(F.col("n") * F.col("u")) + 1).cast("bigint").alias("rank"), "x", "r")
     # From the highest rank down, values before draws: the last value seen is the smallest whose running count reaches the draw's rank.
     w = Window.partitionBy(*at).orderBy(F.desc("rank"), F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     drawn = upto.union(draws).withColumn("x", F.last("x", ignorenulls=True).over(w)).where(F.col("r").isNotNull())
-    middle = lambda name: F.avg(F.when(F.col(group) == name, F.col("x")))
+    middle = lambda name: F.floor(F.sum(F.when(F.col(group) == name, F.col("x"))) / 2)
     both = drawn.groupBy(key, "r").agg(middle("a").alias("a"), middle("b").alias("b")).where("a is not null and b is not null")
     low, high = int(resamples * 0.025), int(resamples * 0.975)
-    return both.groupBy(key).agg(F.array_sort(F.collect_list(F.col("b") / F.col("a"))).alias("s")).select(key, F.get("s", F.lit(low)).alias("ci_low"), F.get("s", F.lit(high)).alias("ci_high"))
+    return both.groupBy(key).agg(F.array_sort(F.collect_list(F.col("a") - F.col("b"))).alias("s")).select(key, F.get("s", F.lit(low)).alias("ci_low"), F.get("s", F.lit(high)).alias("ci_high"))
 
 
 def scaling_ratios(points: DataFrame) -> DataFrame:

@@ -202,11 +202,13 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.rules(robots_files(spark, sf_dir)).select("host", "agent", "path", "allow")
 
 
-@R.add("robots_allowed", f"SELECT {HOST} AS host, concat('/', lower(n_name), p) AS path, p LIKE '/public%' AS allowed FROM nation, (SELECT unnest(['', '/x', '/public', '/public/y']) AS p) UNION ALL SELECT {HOST}, '/other', true FROM nation")
+@R.add("robots_allowed", f"SELECT {HOST} AS host, concat('/', replace(lower(n_name), ' ', '%20'), p) AS path, p LIKE '/p%' AS allowed FROM nation, (SELECT unnest(['', '/x', '/public', '/p%75blic/y']) AS p) UNION ALL SELECT {HOST}, '/other', true FROM nation UNION ALL SELECT {HOST}, '/%zz', true FROM nation")
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with escapes, one of them broken, against rules that are written without."""
     files = robots_files(spark, sf_dir)
-    ends = F.array(*[F.lit(e) for e in ("", "/x", "/public", "/public/y")])
-    asked = files.select("host", F.explode(F.concat(F.transform(ends, lambda e: F.concat(F.lit("/"), F.col("n"), e)), F.array(F.lit("/other")))).alias("path")).withColumn("id", F.xxhash64("host", "path"))
+    ends = F.array(*[F.lit(e) for e in ("", "/x", "/public", "/p%75blic/y")])
+    paths = F.concat(F.transform(ends, lambda e: F.concat(F.lit("/"), F.replace("n", F.lit(" "), F.lit("%20")), e)), F.array(F.lit("/other"), F.lit("/%zz")))
+    asked = files.select("host", F.explode(paths).alias("path")).withColumn("id", F.xxhash64("host", "path"))
     return robots.allowed(asked, robots.rules(files), "crawler").select("host", "path", "allowed")
 
 
@@ -280,10 +282,10 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", F.octet_length("html").cast("long").alias("bytes"))
 
 
-@R.add("fetch_join", "SELECT p.page_id, f.depth, strlen(p.html) AS bytes FROM pages p JOIN (SELECT DISTINCT url, page_id % 4 AS depth FROM pages WHERE page_id % 2 = 0) f ON f.url = p.url")
+@R.add("fetch_join", "SELECT p.page_id, f.depth, strlen(p.html) AS bytes FROM pages p JOIN (SELECT DISTINCT url, page_id % 4 AS depth FROM pages) f ON f.url = p.url")
 def fetch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    frontier = pages.where("page_id % 2 = 0").select("url", (F.col("page_id") % 4).alias("depth")).distinct()
+    frontier = pages.select("url", (F.col("page_id") % 4).alias("depth")).distinct()
     return pages.join(frontier, "url").select("page_id", "depth", F.octet_length("html").cast("long").alias("bytes"))
 
 

@@ -42,7 +42,7 @@ def mad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("upper_median", f"WITH {S}, k AS (SELECT workload, d, row_number() OVER (PARTITION BY workload ORDER BY d, run) AS k, count(*) OVER (PARTITION BY workload) AS n FROM s) SELECT workload, d AS median FROM k WHERE k = n // 2 + 1")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.upper_median(samples(spark, sf_dir), "workload", "d", "run")
+    return stats.upper_median(samples(spark, sf_dir), "workload", "d")
 
 
 @R.add("avg_median", f"WITH {S} SELECT workload, floor(median(d))::BIGINT AS median FROM s GROUP BY workload")
@@ -74,30 +74,51 @@ def cliffs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cliffs_delta(rows.where("tool = 'a'"), rows.where("tool = 'b'"), "workload", "d")
 
 
-@R.add("pairwise_all", f"WITH {S}, {AB}, m AS (SELECT workload, tool, floor(median(d))::BIGINT AS m FROM ab GROUP BY 1, 2) SELECT a.workload, a.tool AS base, b.tool AS other, a.m AS base_median, b.m AS other_median, round(b.m / a.m, 9) AS ratio, b.m - a.m AS diff FROM m a JOIN m b ON a.workload = b.workload WHERE a.tool = 'a' AND b.tool <> a.tool")
+@R.add("pairwise_all", f"WITH {S}, {AB}, m AS (SELECT workload, tool, floor(median(d))::BIGINT AS m FROM ab GROUP BY 1, 2) SELECT a.workload, a.tool AS base, b.tool AS other, a.m AS base_median, b.m AS other_median, round(a.m / b.m, 9) AS ratio, a.m - b.m AS diff FROM m a JOIN m b ON a.workload = b.workload WHERE a.tool = 'a' AND b.tool <> a.tool")
 def pairwise_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tools(spark, sf_dir).groupBy("workload", "tool").agg(stats.averaged_median("d").alias("m"))
     base, other = m.where("tool = 'a'").alias("x"), m.where("tool <> 'a'").alias("y")
     j = base.join(other, F.col("x.workload") == F.col("y.workload"))
-    return j.select("x.workload", F.col("x.tool").alias("base"), F.col("y.tool").alias("other"), F.col("x.m").alias("base_median"), F.col("y.m").alias("other_median"), F.round(F.col("y.m") / F.col("x.m"), 9).alias("ratio"), (F.col("y.m") - F.col("x.m")).alias("diff"))
+    return j.select("x.workload", F.col("x.tool").alias("base"), F.col("y.tool").alias("other"), F.col("x.m").alias("base_median"), F.col("y.m").alias("other_median"), F.round(F.col("x.m") / F.col("y.m"), 9).alias("ratio"), (F.col("x.m") - F.col("y.m")).alias("diff"))
 
 
-@R.add("bootstrap_ci")
+def _u(k: int) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', '1', workload, tool, r, '{k}')), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+def _gamma(k: str, i: int) -> str:
+    return f"CASE WHEN {k} = 1 THEN -ln({_u(i)}) ELSE {k} * pow(greatest(1 - 1 / (9 * {k}) + sqrt(-2 * ln({_u(i)})) * cos(2 * pi() * {_u(i + 1)}) / (3 * sqrt({k})), 0.001), 3) END"
+
+
+BOOT = (
+    f"WITH {S}, {AB}, c AS (SELECT workload, tool, d, count(*) AS c, sum(count(*)) OVER (PARTITION BY workload, tool ORDER BY d) AS upto FROM ab GROUP BY 1, 2, 3), "
+    "k AS (SELECT workload, tool, count(*)::DOUBLE AS n, floor((count(*) + 1) / 2)::DOUBLE AS m FROM ab GROUP BY 1, 2), q AS (SELECT *, unnest(range(2000)) AS r FROM k), "
+    f"g AS (SELECT *, {_gamma('m', 1)} AS g1, {_gamma('(n - m + 1)', 3)} AS g2 FROM q), u AS (SELECT *, g1 / (g1 + g2) AS u FROM g), "
+    f"i AS (SELECT workload, tool, r, least(n, floor(n * unnest([u, CASE WHEN n % 2 = 0 THEN u + (1 - u) * (1 - pow({_u(5)}, 1 / (n - m))) ELSE u END])) + 1) AS rank FROM u), "
+    "x AS (SELECT i.workload, i.tool, r, floor(sum(d) / 2) AS x FROM i JOIN c ON c.workload = i.workload AND c.tool = i.tool AND c.upto >= rank AND c.upto - c.c < rank GROUP BY 1, 2, 3), "
+    "y AS (SELECT a.workload, list_sort(list(a.x - b.x)) AS s FROM x a JOIN x b ON a.workload = b.workload AND a.r = b.r AND a.tool = 'a' AND b.tool = 'b' GROUP BY 1), "
+    "ci AS (SELECT workload, s[51]::BIGINT AS ci_low, s[1951]::BIGINT AS ci_high FROM y)"
+)
+
+
+@R.add("bootstrap_ci", f"{BOOT} SELECT * FROM ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals over all runs of each tool."""
     return stats.bootstrap_ci(tools(spark, sf_dir), "workload", "tool", "d")
 
 
-MADS = f"WITH {S}, {AB}, m AS (SELECT workload, tool, floor(median(d))::BIGINT AS m, quantile_disc(d, 0.5) AS q FROM ab GROUP BY 1, 2), v AS (SELECT ab.workload, ab.tool, quantile_disc(abs(d - q), 0.5) AS mad FROM ab JOIN m USING (workload, tool) GROUP BY 1, 2)"
+MADS = "m AS (SELECT workload, tool, floor(median(d))::BIGINT AS m, quantile_disc(d, 0.5) AS q FROM ab GROUP BY 1, 2), v AS (SELECT ab.workload, ab.tool, quantile_disc(abs(d - q), 0.5) AS mad FROM ab JOIN m USING (workload, tool) GROUP BY 1, 2)"
 
 
-@R.add("pairwise_significance", f"{MADS} SELECT a.workload, abs(b.m - a.m) > va.mad + vb.mad AS apart FROM m a JOIN m b ON a.workload = b.workload AND a.tool = 'a' AND b.tool = 'b' JOIN v va ON va.workload = a.workload AND va.tool = 'a' JOIN v vb ON vb.workload = a.workload AND vb.tool = 'b'")
+@R.add("pairwise_significance", f"{BOOT}, {MADS} SELECT a.workload, abs(a.m - b.m) > va.mad + vb.mad AS apart, (ci_low > 0 OR ci_high < 0) AND abs(a.m - b.m) > va.mad + vb.mad AS significant FROM m a JOIN m b ON a.workload = b.workload AND a.tool = 'a' AND b.tool = 'b' JOIN v va ON va.workload = a.workload AND va.tool = 'a' JOIN v vb ON vb.workload = a.workload AND vb.tool = 'b' JOIN ci ON ci.workload = a.workload")
 def pairwise_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the medians lie further apart than both deviations together; with bootstrap_ci, a difference is significant if 1 is outside the interval too."""
+    """Whether the medians lie further apart than both deviations together, and whether the interval of their difference excludes 0 as well."""
     rows = tools(spark, sf_dir).withColumn("key", F.struct("workload", "tool"))
     m = rows.groupBy("key").agg(stats.averaged_median("d").alias("m")).join(stats.mad(rows, "key", "d"), "key")
     side = lambda t: m.where(F.col("key.tool") == t).select(F.col("key.workload").alias("workload"), F.col("m").alias(f"m_{t}"), F.col("mad").alias(f"mad_{t}"))
-    return side("a").join(side("b"), "workload").select("workload", (F.abs(F.col("m_b") - F.col("m_a")) > F.col("mad_a") + F.col("mad_b")).alias("apart"))
+    apart = F.abs(F.col("m_b") - F.col("m_a")) > F.col("mad_a") + F.col("mad_b")
+    both = side("a").join(side("b"), "workload").join(bootstrap_ci(spark, sf_dir), "workload")
+    return both.select("workload", apart.alias("apart"), (((F.col("ci_low") > 0) | (F.col("ci_high") < 0)) & apart).alias("significant"))
 
 
 # Verdicts: a run of a workload (an order's lines) passes if nothing was returned.
@@ -113,11 +134,11 @@ def flaky_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("workload").agg(F.count("*").alias("runs"), F.count_if("passed").alias("passes"), verdict.alias("verdict"), first.alias("diffs"))
 
 
-TOOL = "t AS (SELECT l_suppkey % 4 AS tool, l_partkey % 40 AS workload, l_orderkey AS run, CAST(l_quantity AS BIGINT) AS found, 50 AS total, l_quantity > 5 AS passed, CASE WHEN l_linenumber < 7 THEN CAST(l_extendedprice AS BIGINT) END AS rss FROM lineitem WHERE l_suppkey % 4 < 3)"
+TOOL = "t AS (SELECT l_suppkey % 4 AS tool, l_partkey % 40 AS workload, l_orderkey AS run, CAST(l_quantity AS BIGINT) AS found, 50 AS total, l_quantity > 5 AS passed, CASE WHEN l_linenumber < 7 THEN CAST(l_extendedprice AS BIGINT) END AS rss FROM lineitem)"
 
 
 def tool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 4 < 3")
+    rows = table(spark, sf_dir, "lineitem")
     rss = F.when(F.col("l_linenumber") < 7, F.round("l_extendedprice").cast("bigint"))
     return rows.select((F.col("l_suppkey") % 4).alias("tool"), (F.col("l_partkey") % 40).alias("workload"), F.col("l_orderkey").alias("run"), F.col("l_quantity").cast("bigint").alias("found"), F.lit(50).alias("total"), (F.col("l_quantity") > 5).alias("passed"), rss.alias("rss"))
 
@@ -212,11 +233,15 @@ def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), policy.human_bytes(F.col("o_orderkey") * 37).alias("shown"))
 
 
-@R.add("interleave_order")
+REPETITIONS = 5
+
+
+@R.add("interleave_order", f"WITH {TOOL}, w AS (SELECT DISTINCT workload, tool FROM t), r AS (SELECT *, unnest(range({REPETITIONS})) AS repetition FROM w) SELECT workload, repetition::INTEGER AS repetition, tool, row_number() OVER (PARTITION BY workload, repetition ORDER BY md5(concat_ws('|', '7', workload, repetition, tool)), tool)::INTEGER AS position FROM r")
 def interleave_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within each repetition the tools in an order that a seed fixes."""
-    rows = tool_rows(spark, sf_dir).select("workload", "tool").distinct()
-    w = Window.partitionBy("workload").orderBy(F.xxhash64(F.lit(7), "workload", "tool"), "tool")
+    """In each repetition of a workload the tools in an order of its own, which a seed fixes."""
+    rows = tool_rows(spark, sf_dir).select("workload", "tool").distinct().withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(REPETITIONS - 1))))
+    names = [F.col(c).cast("string") for c in ("workload", "repetition", "tool")]
+    w = Window.partitionBy("workload", "repetition").orderBy(F.md5(F.concat_ws("|", F.lit("7"), *names)), "tool")
     return rows.withColumn("position", F.row_number().over(w))
 
 

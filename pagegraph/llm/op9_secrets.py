@@ -4,7 +4,9 @@ Candidates of the battery are runs of ENCODED characters with a letter or a digi
 is inferred from the characters; under it come a chi-squared test of uniformity over the alphabet, a
 runs test above and below its middle, and a lag-one serial correlation. The p-values are combined by
 Fisher's method. Within each class of length (powers of two) the Benjamini-Hochberg procedure at RATE
-picks the candidates that are structured; the rest, which pass for random, are secrets.
+takes out the candidates that are structured. What is left is reported from the p-value on from which at most
+RATE of it is estimated to be structured after all: random tokens have evenly spread p-values, as many above
+one half as below, so what lies below in excess of that, by more than ERRORS standard errors, is none.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagegraph.functions.urls import let
 from pagegraph.llm.common import table, written
 
 #: Fixed patterns. Those of access and hex match only what is long enough: in a shorter run nothing else could match.
@@ -24,6 +27,8 @@ KINDS = ["assign", "access", "hex", "random"]
 
 ENCODED = "[A-Za-z0-9+/_-]{20,}={0,2}"
 RATE = 0.05
+#: Standard errors by which an excess has to show.
+ERRORS = 2.0
 #: Steps of -ln(p) in which p-values are counted; a step stands for its largest p, so the rate holds.
 STEPS, LAST_STEP = 8, 800
 
@@ -69,9 +74,15 @@ def total(values: Column) -> Column:
 
 
 def upper_tail(z: Column) -> Column:
-    """P(normal > z) by a logistic approximation (error below 0.0002), never 0."""
-    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(z * 1.5976 + z * z * z * 0.07056))
+    """P(normal > z) by a rational approximation (error below 1e-7), never 0."""
+
+    def tail(x: Column) -> Column:
+        k = F.lit(1.0) / (1 + 0.2316419 * F.abs(x))
+        part = reduce(lambda a, c: (a + c) * k, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.31938153), F.lit(0.0))
+        above = F.exp(-x * x / 2) * 0.3989422804014327 * part
+        return F.when(x < 0, 1 - above).otherwise(above)
+
+    return let(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z)), tail)
 
 
 def battery(token: Column) -> Column:
@@ -84,7 +95,9 @@ def battery(token: Column) -> Column:
     def judged(b: Column) -> Column:
         n, k, codes = b["n"], b["k"], b["codes"]
         squares = total(F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0))))
-        chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        # Mean and variance are exact however short the token is; the tail is that of the gamma distribution with both, by its cube root.
+        shape = (k - 1) * n / (2 * (n - 1))
+        chi = (F.pow(F.greatest((k / n * squares - n) / (k - 1), F.lit(1e-9)), F.lit(1.0 / 3)) - 1 + 1 / (9 * shape)) * 3 * F.sqrt(shape)
         high = total(F.transform(codes, lambda c: F.when(c > k / 2, 1.0).otherwise(0.0)))
         runs = total(F.transform(codes, lambda c, i: F.when((i > 0) & ((c > k / 2) != (F.get(codes, F.greatest(i - 1, F.lit(0))) > k / 2)), 1.0).otherwise(0.0))) + 1
         mean = 2 * high * (n - high) / n + 1
@@ -117,23 +130,29 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def structured_from(rows: DataFrame) -> dict[int, int]:
-    """For each class of length the step from which candidates are structured, by Benjamini-Hochberg.
+    """For each class of length the step from which candidates are not reported.
 
     Candidates are counted by class and step, so at most 31 * (LAST_STEP + 1) counts are compared
     and at most 31 rows reach the driver, whatever the input.
     """
     counts = rows.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.step").agg(F.count("*").alias("n"))
     by_class = Window.partitionBy("class")
-    ranked = counts.withColumns({"rank": F.sum("n").over(by_class.orderBy(F.desc("step"))), "m": F.sum("n").over(by_class)})
-    passed = ranked.where(F.exp(-F.col("step") / STEPS) <= RATE * F.col("rank") / F.col("m"))
-    return {r["class"]: r["step"] for r in passed.groupBy("class").agg(F.min("step").alias("step")).collect()}
+    half = int(STEPS * 0.6931471805599453) + 1  # steps below it are p-values above one half, or nearly
+    sums = {"rank": F.sum("n").over(by_class.orderBy(F.desc("step"))), "m": F.sum("n").over(by_class), "upto": F.sum("n").over(by_class.orderBy("step")), "upper": F.sum(F.when(F.col("step") < half, F.col("n")).otherwise(0)).over(by_class)}
+    ranked = counts.withColumns(sums)
+    rejected = F.exp(-F.col("step") / STEPS) <= RATE * F.col("rank") / F.col("m")
+    share = F.exp(F.lit(-half / STEPS))  # p-values in the upper part lie above this
+    random = F.col("upper") / (1 - share) * (1 - F.exp(-(F.col("step") + 1) / STEPS))
+    fits = (F.col("upto") - random - ERRORS * F.sqrt("upto")) <= RATE * F.col("upto")
+    out = ranked.groupBy("class").agg(F.min(F.when(rejected, F.col("step"))).alias("structured"), F.max(F.when(fits, F.col("step") + 1)).alias("doubtful"))
+    return {r["class"]: min(LAST_STEP + 1 if r["structured"] is None else r["structured"], r["doubtful"] or 0) for r in out.collect()}
 
 
 def with_spans(rows: DataFrame) -> DataFrame:
     """Adds spans (start, kind, end), base ones and random ones, in order."""
     limits = structured_from(rows)
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.lit(None).cast("map<int,int>")
-    random = F.filter("candidates", lambda c: c["step"] < F.coalesce(F.try_element_at(limit, c["class"]), F.lit(LAST_STEP + 1)))
+    random = F.filter("candidates", lambda c: c["step"] < F.coalesce(F.try_element_at(limit, c["class"]), F.lit(0)))
     random = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return rows.withColumn("spans", F.sort_array(F.concat("base", random)))
 
@@ -156,15 +175,13 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
-    """documents with each secret replaced by `mask`; same columns, n_chars made anew."""
+    """documents with each secret replaced by `mask`; same columns, n_chars made anew.
+
+    Spans that overlap are masked as one. Null text stays null, and rows without a doc_id or repeated ones are each
+    masked. Texts are scanned once: rows are written with their spans, as the thresholds need all candidates first.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = docs.select(row, "text")
-    limits = written(scanned(kept.select("text"), []), "op9-scanned")  # the thresholds need all candidates first
-    rows = scanned(kept, ["row"])
-    limit = structured_from(limits)
-    limit_map = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair]) if limit else F.lit(None).cast("map<int,int>")
-    random = F.filter("candidates", lambda c: c["step"] < F.coalesce(F.try_element_at(limit_map, c["class"]), F.lit(LAST_STEP + 1)))
-    spans = F.sort_array(F.concat(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.transform(random, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
+    rows = with_spans(written(scanned(docs.select(row, "text"), ["row"]), "op9-scanned"))
     text = F.col("row.text").cast("string")
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -173,8 +190,8 @@ def masked(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
         new = F.struct(x["end"].alias("at"), F.concat(a["out"], before, F.lit(mask)).alias("out"))
         return F.when(x["start"] >= a["at"], new).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
 
-    whole = F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    rows = rows.withColumn("new", F.when(F.size(spans) == 0, text).otherwise(whole))
+    whole = F.aggregate("spans", first, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    rows = rows.withColumn("new", F.when(F.size("spans") == 0, text).otherwise(whole))
     made = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return rows.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 

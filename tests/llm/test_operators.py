@@ -1,13 +1,16 @@
 """Operators on small fixtures: nulls, empty and repeated rows, ties, clashing extra columns, empty tables; brute force where SQL has no twin."""
 
 import hashlib
+import math
 import os
 import random
 import re
+import string
 from itertools import pairwise, product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagegraph.llm import bpe, op1_warc, op2_langid, op3_edits, op4_quality, op5_licenses, op6_neardup, op7_urls, op8_bpe, op9_secrets, op10_decontaminate
 from pagegraph.llm.shingles import shingle_sets
@@ -156,6 +159,76 @@ def test_secrets_of_letters_or_digits(spark):
         assert sum(got[k] == f"random:4:{4 + len(keys[k][0])}" for k in range(first, first + 10)) >= 9
 
 
+def battery_by_hand(token):
+    """The battery's statistics in plain Python, with the error function for normal tails."""
+    body = token.rstrip("=")
+    alphabet = next(a for p, a in op9_secrets.ENCODINGS if not p or re.search(p, body))
+    n, k = len(body), len(alphabet)
+    codes = [alphabet.index(c) + 1 for c in body]
+    tail = lambda z: 0.5 * math.erfc(max(-8, min(8, z)) / math.sqrt(2))
+    x = k / n * sum(codes.count(c) ** 2 for c in set(codes)) - n
+    shape = (k - 1) ** 2 / (2 * (k - 1) * (n - 1) / n)
+    ps = [tail(((x / (k - 1)) ** (1 / 3) - 1 + 1 / (9 * shape)) * 3 * math.sqrt(shape))]
+    high = [c > k / 2 for c in codes]
+    up = sum(high)
+    mean = 2 * up * (n - up) / n + 1
+    runs = 1 + sum(a != b for a, b in pairwise(high))
+    ps.append(min(1, 2 * tail(8 if mean < 2 else abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)))))
+    mid = sum(codes) / n
+    lag = sum((a - mid) * (b - mid) for a, b in pairwise(codes)) / max(sum((c - mid) ** 2 for c in codes), 1e-9)
+    ps.append(min(1, 2 * tail(abs(lag) * math.sqrt(n))))
+    half = -sum(math.log(p) for p in ps)
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+ALPHABETS = {"base64": string.ascii_letters + string.digits + "+/", "base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "url": string.ascii_letters + string.digits + "-_", "base36": string.ascii_lowercase + string.digits}
+
+
+def test_secrets_battery(spark):
+    """The battery against plain Python; its p-values are evenly spread for random tokens, short ones too."""
+    rng = random.Random(21)
+    keys = ["".join(rng.choices(chars, k=n)) for chars in ALPHABETS.values() for n in (20, 24, 32, 48, 90) for _ in range(40)]
+    words = ["internationalisation", "AbstractSingletonProxyFactoryBean", "path/to/some/file/name", "aaaaaaaaaaaaaaaaaaaaaa", "abababababababababababab", "abcdefghijklmnopqrstuvwxyz", "x_y_z_x_y_z_x_y_z_x_y_z=="]
+    got = [r.p for r in spark.createDataFrame([(k,) for k in keys + words], "t string").select(op9_secrets.battery(F.col("t")).alias("p")).collect()]
+    want = [battery_by_hand(k) for k in keys + words]
+    assert got == pytest.approx(want, rel=0.03, abs=1e-6)
+    spread = sorted(got[: len(keys)])
+    assert all(abs(p - (i + 0.5) / len(spread)) < 0.1 for i, p in enumerate(spread))
+    for n in range(5):  # the shortest alone: coarser, but no less spread
+        short = sorted(got[n * 200 : n * 200 + 40])
+        assert sum(p < 0.05 for p in short) <= 6
+
+
+def test_secrets_rates(spark):
+    """Of random keys among structured tokens nine in ten are reported, and of what is reported at most one in ten is structured."""
+    rng = random.Random(22)
+    keys = ["".join(rng.choices(chars, k=rng.choice([24, 32, 40, 64]))) for chars in ALPHABETS.values() for _ in range(60)]
+    syllables = ["ta", "ren", "os", "mi", "lo", "kan", "ver", "di", "su", "pel"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 4)))
+    joins = [lambda: "/".join(word() for _ in range(5)), lambda: "_".join(word() for _ in range(5)), lambda: "".join(word().title() for _ in range(5)), lambda: word() * 5, lambda: "-" * 30 + word(), lambda: f"{word()}-{word()}-{word()}-{rng.randint(1990, 2030)}"]
+    plain = [x for x in (rng.choice(joins)() for _ in range(600)) if len(x) >= 20]
+    rows = [(k, f"see {t} there") for k, t in enumerate(keys + plain)]
+    got = {r.doc_id for r in op9_secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("spans like '%random%'").collect()}
+    right = sum(k < len(keys) for k in got)
+    assert right >= 0.9 * len(keys) and len(got) - right <= 0.1 * len(got)
+
+
+def test_secrets_control(spark):
+    """Counts by class and step against the rule in plain Python."""
+    rng = random.Random(23)
+    ps = [rng.random() for _ in range(400)] + [0.3 * rng.random() for _ in range(300)] + [rng.random() ** 40 for _ in range(300)]
+    steps = [min(op9_secrets.LAST_STEP, int(-math.log(max(p, 1e-300)) * op9_secrets.STEPS)) for p in ps]
+    rows = spark.createDataFrame([([(4, s)],) for s in steps], "candidates array<struct<class:int,step:int>>")
+    limit = op9_secrets.structured_from(rows)[4]
+    half = int(op9_secrets.STEPS * math.log(2)) + 1
+    upper = sum(s < half for s in steps) / (1 - math.exp(-half / op9_secrets.STEPS))
+    rejected = [s for s in set(steps) if math.exp(-s / op9_secrets.STEPS) <= op9_secrets.RATE * sum(x >= s for x in steps) / len(steps)]
+    reach = [s + 1 for s in set(steps) if (r := sum(x <= s for x in steps)) - upper * (1 - math.exp(-(s + 1) / op9_secrets.STEPS)) - 2 * math.sqrt(r) <= op9_secrets.RATE * r]
+    assert limit == min(min(rejected), max(reach))
+    reported = [k for k, s in enumerate(steps) if s < limit]
+    assert sum(k >= 400 for k in reported) <= 0.2 * len(reported) and sum(k < 400 for k in reported) >= 200
+
+
 def test_bpe(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,10 +1,9 @@
 """Quality rules from built-in functions: base figures of each text, and cross-document line frequency.
 
 A line is normalised (lower case, runs of blanks as one, numbers as 0) and hashed. For each host
-(the column source) and line the different texts that hold it are counted. A line of more than
-LIMIT texts is removed everywhere but in the text of the smallest doc_id that holds it, and a
+(the column source) and line the different documents that hold it are counted. A line of more than
+LIMIT documents is removed everywhere but in the document of the smallest doc_id that holds it, and a
 document that loses more than LOST per cent of the words of its different lines is rejected.
-Copies of one text count once: taking out copies is the work of the near-duplicate operator.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, table
+from pagegraph.llm.common import attach, drop_table, table, written
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 LIMIT, LOST = 50, 70
@@ -55,21 +54,29 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base_failed", failed)
 
 
+#: What names a row's document: its doc_id, or where it has none a hash of its text, and another hash of the text.
+KEY = ["host", "no_id", "id", "fp"]
+
+
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text, host, the columns `more` and a 128-bit fingerprint of the text; a null text counts as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("fp1"), F.xxhash64(F.lit(1), text).alias("fp2"), *more)
+    """doc_id, text, KEY and the columns `more`; a null text counts as empty."""
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), host.alias("host"), doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.xxhash64(F.lit(1), text)).alias("id"), F.xxhash64(text).alias("fp"), *more)
 
 
 def removed_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """For each (host, fp1, fp2) that loses lines: their hashes and the words of these lines."""
+    """For each document (KEY) that loses lines: their hashes and the words of these lines."""
     lines = F.array_distinct(F.transform(F.filter(normal_lines(F.col("text")), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w"))))
-    rows = keyed(docs).select("doc_id", "host", "fp1", "fp2", F.explode(lines).alias("line")).select("doc_id", "host", "fp1", "fp2", "line.h", "line.w")
-    held = rows.groupBy("host", "h", "fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"))
-    often = held.groupBy("host", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp1", "fp2")).alias("owner")).where(F.col("n") > limit)
-    often = often.select("host", "h", F.col("owner.fp1").alias("own1"), F.col("owner.fp2").alias("own2"))
-    lost = attach(held, often, ["host", "h"], ["fp1"], "inner").where("fp1 <> own1 or fp2 <> own2")
-    return lost.groupBy("host", "fp1", "fp2").agg(F.collect_set("h").alias("lost"), F.sum("w").alias("lost_words"))
+    rows = keyed(docs).select(*KEY, F.explode(lines).alias("line")).select(*KEY, "line.h", "line.w")
+    # One row per document and line, written once: it is counted and joined with the counts. Repeated rows are one.
+    held = written(rows.groupBy("h", *KEY).agg(F.first("w").alias("w")), "op4-held")
+    often = held.groupBy("host", "h").agg(F.count_distinct("no_id", "id").alias("n"), F.min(F.struct("no_id", "id")).alias("owner")).where(F.col("n") > limit)
+    often = often.select("host", "h", F.col("owner.no_id").alias("own_no"), F.col("owner.id").alias("own_id"))
+    lost = attach(held, often, ["host", "h"], ["id"], "inner").where("no_id <> own_no or id <> own_id")
+    lost = written(lost.groupBy(*KEY).agg(F.collect_set("h").alias("lost"), F.sum("w").alias("lost_words")), "op4-lost")  # at most a document's own lines
+    drop_table(held)
+    return lost
 
 
 def line_words(text: Column) -> Column:
@@ -81,28 +88,28 @@ def line_words(text: Column) -> Column:
 def quality(docs: DataFrame, limit: int = LIMIT, lost: int = LOST) -> DataFrame:
     """One row per row of documents (doc_id, text, source): figures, base_failed, kept and what was lost.
 
-    Null text: empty, so base_failed. Null source: the host ''. Repeated rows and rows with the
-    same or no doc_id are judged alike, by host and text. Extra columns are not read.
+    Null text: empty, so base_failed. Null source: the host ''. Repeated rows are one document. Rows that share
+    a doc_id count as one document, and each loses its own lines; rows without are different documents
+    if their texts are. Extra columns are not read.
     """
     base = with_base(keyed(docs)).withColumn("line_words", line_words(F.col("text")))
     removed = removed_lines(docs, limit)
-    figures = base.drop("text")
-    spread = F.coalesce("doc_id", F.lit(0))
-    out = attach(figures, removed.select("host", "fp1", "fp2", "lost_words"), ["host", "fp1", "fp2"], [spread])
+    out = attach(base.drop("text"), removed.select(*KEY, "lost_words"), KEY, ["doc_id", "n_words"])
     lost_words = F.coalesce("lost_words", F.lit(0))
     depleted = (100 * lost_words > lost * F.col("line_words")) & (lost_words > 0)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), lost_words.cast("long").alias("lost_words"))
 
 
 def filtered(docs: DataFrame, limit: int = LIMIT, lost: int = LOST) -> DataFrame:
-    """documents without the rejected ones and without the removed lines; same columns, n_chars made anew."""
+    """documents without the rejected ones and without the removed lines; same columns, n_chars made anew. Nulls and repeats as in quality()."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     base = with_base(keyed(docs.select("doc_id", "text", "source", row), "row")).withColumn("line_words", line_words(F.col("text")))
     # The generator keeps the filter above the figures; pushed below, it would make them anew for each word.
-    names = ["row", "doc_id", "text", "host", "fp1", "fp2", "base_failed", "line_words"]
-    base = base.select(F.inline(F.array(F.struct(*names)))).where("not base_failed")
-    out = attach(base, removed_lines(docs, limit), ["host", "fp1", "fp2"], [F.coalesce("doc_id", F.lit(0))])
-    out = out.where(F.coalesce(F.col("lost_words"), F.lit(0)) * 100 <= lost * F.col("line_words"))
+    # The text is dealt once, in its row, and only if the document is not rejected before.
+    names = ["row", *KEY, "base_failed", "line_words"]
+    base = base.select(F.inline(F.array(F.struct(*names)))).where("not base_failed").drop("base_failed")
+    out = attach(base, removed_lines(docs, limit), KEY, ["line_words"])
+    out = out.where(F.coalesce(F.col("lost_words"), F.lit(0)) * 100 <= lost * F.col("line_words")).withColumn("text", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
     zipped = F.arrays_zip(F.split("text", "\n").alias("line"), F.transform(normal_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     left = F.array_join(F.transform(F.filter(zipped, lambda z: ~F.array_contains("lost", z["h"])), lambda z: z["line"]), "\n")
     out = out.withColumn("new", F.when(F.col("lost").isNull(), F.col("text")).otherwise(left))
@@ -123,8 +130,8 @@ g AS (SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
   SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, host, t, x, len(string_split(x, ' ')) AS nw FROM (SELECT doc_id, host, t, unnest(list_distinct(ns)) AS x FROM w) WHERE x <> ''),
-o AS (SELECT host, x, arg_min(t, doc_id) AS owner FROM l GROUP BY host, x HAVING count(DISTINCT t) > {LIMIT}),
-z AS (SELECT doc_id, sum(CASE WHEN o.x IS NOT NULL AND l.t <> o.owner THEN nw ELSE 0 END)::BIGINT AS lost, sum(nw) AS total
+o AS (SELECT host, x, min(doc_id) AS owner FROM l GROUP BY host, x HAVING count(DISTINCT doc_id) > {LIMIT}),
+z AS (SELECT doc_id, sum(CASE WHEN o.x IS NOT NULL AND l.doc_id <> o.owner THEN nw ELSE 0 END)::BIGINT AS lost, sum(nw) AS total
   FROM l LEFT JOIN o ON l.host = o.host AND l.x = o.x GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,

@@ -9,14 +9,14 @@ counts as the share of its pages. A host is blocked where distrust is THRESHOLD
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm.common import attach, drop_table, table, written
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
-#: Score that may be missing at the end, all hosts together. ROUNDS is of the SQL twin alone, which stops there.
-TOLERANCE = 1e-6
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Score that may be missing at the end, all hosts together. ROUNDS is of the SQL twin alone: what it leaves out is as small.
+TOLERANCE, ROUNDS = 1e-6, 110
 #: Rows of (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -43,37 +43,45 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
-    """(host, score): personalised PageRank of seeds (host, score) over edges (src, dst, share), as a multiple of 1 - damping.
+    """(kind, host, score): personalised PageRank of seeds (kind, host, score) over edges (kind, src, dst, share), as a multiple of 1 - damping.
 
     The sum of what the seeds send over paths of 0, 1, 2, ... edges; sent is what arrives by the last.
     All that follows is at most damping / (1 - damping) times that.
     """
-    edges = written(edges, "op7-edges")
-    now = written(seeds.select("host", F.col("score").alias("sent"), "score"), "op7-rank")
-    while (now.agg(F.sum("sent")).first()[0] or 0.0) * damping / (1 - damping) > tolerance:
-        given = edges.join(now.where("sent > 0").select(F.col("host").alias("src"), "sent"), "src").select(F.col("dst").alias("host"), (F.col("sent") * F.col("share") * damping).alias("sent"))
-        both = given.select("host", "sent", F.col("sent").alias("score")).union(now.select("host", F.lit(0.0), "score"))
-        nxt = written(both.groupBy("host").agg(F.sum("sent").alias("sent"), F.sum("score").alias("score")), "op7-rank")
+    edges = written(edges, "op7-edges")  # a host may have a third of all edges: they are dealt by its sub-keys
+
+    def kept(rows: DataFrame) -> tuple[DataFrame, float]:
+        left = Observation()
+        out = written(rows.observe(left, F.sum("sent").alias("sent")), "op7-rank")
+        return out, left.get["sent"] or 0.0
+
+    now, left = kept(seeds.select("kind", "host", F.col("score").alias("sent"), "score"))
+    while left * damping / (1 - damping) > tolerance:
+        given = attach(edges, now.where("sent > 0").select("kind", F.col("host").alias("src"), "sent"), ["kind", "src"], ["dst"], "inner")
+        given = given.select("kind", F.col("dst").alias("host"), (F.col("sent") * F.col("share") * damping).alias("sent"))
+        both = given.select("*", F.col("sent").alias("score")).union(now.select("kind", "host", F.lit(0.0), "score"))
+        nxt, left = kept(both.groupBy("kind", "host").agg(F.sum("sent").alias("sent"), F.sum("score").alias("score")))
         drop_table(now)
         now = nxt
-    return now.select("host", F.round("score", 9).alias("score"))
+    drop_table(edges)
+    return now.select("kind", "host", F.round("score", 9).alias("score"))
 
 
-def shares(links: DataFrame, src: str, dst: str) -> DataFrame:
+def shares(links: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
     out = links.groupBy(src).agg(F.sum("n").alias("all"))
-    return links.join(out, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("all")).alias("share"))
+    return attach(links, out, [src], [dst], "inner").select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("all")).alias("share"))
 
 
 def host_scores(pages: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of hosts with any, from pages (host, by_rule) and links (a, b, n)."""
     hosts = pages.groupBy("host").agg((F.count_if(F.col("by_rule") == "allow") / F.count("*")).alias("trust"), (F.count_if(F.col("by_rule") == "block") / F.count("*")).alias("distrust"))
     hosts = written(hosts.where("host <> ''"), "op7-hosts")
-    seeds = {k: hosts.where(F.col(k) > 0).select("host", F.col(k).alias("score")) for k in ("trust", "distrust")}
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("score")) for k in ("trust", "distrust")])
+    seeds = hosts.select("host", F.inline(both)).where("score > 0").select("kind", "host", "score")
     if not links.isEmpty():
-        seeds = {"trust": spread(seeds["trust"], shares(links, "a", "b"), damping, tolerance), "distrust": spread(seeds["distrust"], shares(links, "b", "a"), damping, tolerance)}
-    zero = F.lit(0.0)
-    both = seeds["trust"].select("host", F.col("score").alias("trust"), zero.alias("distrust")).union(seeds["distrust"].select("host", zero, "score"))
-    return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        seeds = spread(seeds, shares(links, "trust", "a", "b").union(shares(links, "distrust", "b", "a")), damping, tolerance)
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
+    return seeds.groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -100,17 +108,15 @@ def _sql() -> str:
     cases = " ".join(f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'" for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1])))
 
     def rank(name: str, src: str, dst: str) -> str:
-        parts = [f"{name}_e AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM k)", f"{name}_0 AS (SELECT host, {name} AS score FROM hs WHERE {name} > 0)"]
-        for r in range(ROUNDS):
-            parts.append(f"{name}_{r + 1} AS (SELECT host, sum(score) AS score FROM (SELECT e.dst AS host, x.score * e.share * {DAMPING} AS score FROM {name}_{r} x JOIN {name}_e e ON e.src = x.host UNION ALL SELECT host, score * {1 - DAMPING} FROM {name}_0) GROUP BY host)")
-        parts.append(f"{name}_z AS (SELECT host, CASE WHEN (SELECT count(*) FROM k) = 0 THEN score ELSE round(score / {1 - DAMPING}, 9) END AS score FROM {name}_0 WHERE (SELECT count(*) FROM k) = 0 UNION ALL SELECT host, round(score / {1 - DAMPING}, 9) FROM {name}_{ROUNDS} WHERE (SELECT count(*) FROM k) > 0)")
-        return ", ".join(parts)
+        edges = f"{name}_e AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM k)"
+        walk = f"{name}_w AS (SELECT host, {name}::DOUBLE AS sent, 0 AS step FROM hs WHERE {name} > 0 UNION ALL SELECT e.dst, sum(w.sent * e.share * {DAMPING}), w.step + 1 FROM {name}_w w JOIN {name}_e e ON e.src = w.host WHERE w.step < {ROUNDS} GROUP BY e.dst, w.step)"
+        return f"{edges}, {walk}, {name}_z AS (SELECT host, round(sum(sent), 9) AS score FROM {name}_w GROUP BY host)"
 
     alphabet = f"'{UPPER}', '{LOWER}'"
     host = f"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {alphabet})"
     link = LINK.replace("'", "''")
     return f"""
-WITH b AS (SELECT page_id, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+WITH RECURSIVE b AS (SELECT page_id, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
 c AS (SELECT *, CASE {cases} END AS r FROM b),
 d AS (SELECT page_id, host, path, string_split(r, '|')[1] AS rule, string_split(r, '|')[2] AS by_rule FROM c),
 l AS (SELECT host AS a, translate(unnest(regexp_extract_all(html, '{link}', 1)), {alphabet}) AS b FROM b),

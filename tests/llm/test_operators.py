@@ -134,6 +134,21 @@ def test_quality_line_frequency(spark):
     assert 2 not in cut and shared[0] not in cut[3] and shared[0] in cut[0]
 
 
+def test_quality_documents(spark):
+    """Documents are counted, not texts: of many copies the smallest doc_id stays; rows of one doc_id are one document."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijkl", k=7)) for _ in range(n))
+    copy, other, bare = "\n".join(words(20) for _ in range(4)), "\n".join(words(20) for _ in range(4)), words(60)
+    rows = [(k, copy, "h", 0) for k in range(7)] + [(20, other, "h", 0)] * 9 + [(30 + k, other, "g", 0) for k in range(4)] + [(None, bare, "h", 0)] * 8 + [(40, None, "h", 0), (41, "", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, id long")
+    got = op4_quality.quality(docs, limit=5).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.doc_id for r in got if r.kept and r.doc_id is not None) == [0, *[20] * 9, 30, 31, 32, 33]
+    assert sum(r.kept for r in got if r.doc_id is None) == 8
+    left = op4_quality.filtered(docs, limit=5).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left) == sorted((r[0] is None, r[0] or 0, r[1]) for r in rows if r[0] not in (1, 2, 3, 4, 5, 6, 40, 41))
+
+
 def test_secrets(docs, empty):
     kinds = [("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
     fits = lambda k, m: len(m[2]) >= 6 if k == "assign" else len(m[0]) >= (20 if k == "access" else 24)
@@ -372,6 +387,59 @@ def test_urls(spark):
     assert [got[k].rule for k in range(1, 10)] == ["com/", "net/es/", "www.example.com/en/", "example.com/en/", None, None, None, None, None]
     assert [got[k].verdict for k in (1, 2, 3, 4, 5, 6)] == ["allow", "block", "allow", "block", "allow", "allow"]
     assert got[9].host == "x.com" and got[9].path == ""
+    assert got[7].verdict == "block" and got[8].verdict == "allow"  # half of bad.net is blocked by rule; friend.org is a link away from that
+
+
+def test_urls_graph(spark):
+    """Verdicts of whole pages against a plain walk over their links, and against the SQL twin; a hub has most of the links."""
+    import duckdb
+
+    rng = random.Random(5)
+    hosts = [f"s{k}.org" for k in range(30)] + ["bad.net", "good.com", "spam.net"]
+    rows = []
+    for k in range(400):
+        host = hosts[0] if k % 3 == 0 else rng.choice(hosts)
+        path = "/es/x" if host.endswith(".net") else "/a"
+        to = [rng.choice(hosts[1:12] + ["bad.net", "spam.net"] * 8 if host < "s2" else hosts) for _ in range(rng.randint(0, 3))]
+        rows.append((k, f"http://{host}{path}", "".join(f'<a HREF="https://{x.upper()}/p">' for x in to), 1, "x"))
+    rows += [rows[5], (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n long, host string")
+    got = op7_urls.judged(pages)
+    shown = sorted((-1 if r.page_id is None else r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got.collect())
+    assert len(shown) == len(rows)
+    host_of = lambda url: re.sub("^.*?://([^/?#]*).*$", r"\1", url).lower()
+    links, seeds, count = {}, {}, {}
+    for _, url, html, _, _ in rows:
+        if url is None:
+            continue
+        a = host_of(url)
+        count[a] = count.get(a, 0) + 1
+        for b in re.findall('HREF="https://([^/]*)/', html):
+            if a != b.lower():
+                links[a, b.lower()] = links.get((a, b.lower()), 0) + 1
+    scores = []
+    for verdict, back in (("com", False), ("net", True)):
+        sent = {h: 1.0 for h in count if h.endswith(verdict)}
+        total = dict(sent)
+        for _ in range(300):
+            nxt = {}
+            for (a, b), n in links.items():
+                src, dst = (b, a) if back else (a, b)
+                every = sum(m for (x, y), m in links.items() if (y if back else x) == src)
+                nxt[dst] = nxt.get(dst, 0) + 0.85 * sent.get(src, 0) * n / every
+            sent = nxt
+            total = {h: total.get(h, 0) + sent.get(h, 0) for h in {*total, *sent}}
+        scores.append(total)
+    judged = {h: scores[1].get(h, 0) - scores[0].get(h, 0) >= 0.5 for h in count}
+    assert 3 < sum(judged.values()) < 30
+    for page, host, _, rule, verdict in shown:
+        assert verdict == ("block" if (rule.startswith("net") or (not rule and judged.get(host, False))) else "allow"), page
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    twin = con.execute(f"SELECT {', '.join(names)} FROM ({op7_urls.ORACLES['op7_urls']})").fetchall()
+    assert shown == sorted((-1 if r[0] is None or r[0] != r[0] else int(r[0]), r[1], r[2], r[3] or "", r[4]) for r in twin)
+    assert op7_urls.judged(pages.limit(0)).count() == 0
 
 
 def test_urls_deep_graph(spark):

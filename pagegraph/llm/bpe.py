@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from itertools import islice
 
@@ -15,6 +16,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LOOK = 2
 #: Pre-tokens whose ids a worker keeps at most.
 KNOWN = 500_000
+#: Threads of a worker that encode the leaves of a long text.
+THREADS = 4
 
 
 def default_path() -> str:
@@ -30,6 +33,11 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def _threads() -> ThreadPoolExecutor:
+    return ThreadPoolExecutor(THREADS)
+
+
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizer's JSON file."""
 
@@ -67,11 +75,14 @@ class Bpe:
         return self.core._encode_single_piece(raw) if raw else []
 
     def tree(self, raw: bytes, leaf: int = 512) -> list[int]:
-        """The ids of one long pre-token: its halves are encoded apart and joined."""
-        if len(raw) <= leaf:
-            return self.single(raw)
-        half = len(raw) // 2
-        return self.joined(self.tree(raw[:half], leaf), self.tree(raw[half:], leaf))
+        """The ids of one long pre-token: its halves are encoded apart, the leaves in parallel, and joined."""
+        parts = [raw]
+        while len(parts[-1]) > leaf:
+            parts = [half for p in parts for half in (p[: len(p) // 2], p[len(p) // 2 :])]
+        ids = list(_threads().map(self.single, parts)) if len(parts) > 1 else [self.single(raw)]
+        while len(ids) > 1:
+            ids = [self.joined(a, b) for a, b in zip(ids[::2], ids[1::2], strict=True)]
+        return ids[0]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The ids of the bytes of two encodings put together.
@@ -91,12 +102,17 @@ class Bpe:
             i, j = (i if low else 2 * i), (j if high else 2 * j)
 
     def text_tree(self, text: str, leaf: int) -> list[int]:
-        """The ids of a text without special tokens: those of its halves, joined."""
-        if len(text) <= leaf:
+        """The ids of a text without special tokens: it is halved down to leaves, which are encoded in parallel, and halves are joined."""
+        parts = [text]
+        while len(parts[-1]) > leaf:  # the last is the longest
+            parts = [half for p in parts for half in (p[: len(p) // 2], p[len(p) // 2 :])]
+        if len(parts) == 1:
             return self.core.encode_ordinary(text)
-        half = len(text) // 2
-        left, right = text[:half], text[half:]
-        return self.joined_texts(left, self.text_tree(left, leaf), right, self.text_tree(right, leaf))
+        ids = list(_threads().map(self.core.encode_ordinary, parts))  # outside the interpreter's lock
+        while len(parts) > 1:
+            ids = [self.joined_texts(*x) for x in zip(parts[::2], ids[::2], parts[1::2], ids[1::2], strict=True)]
+            parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=True)]
+        return ids[0]
 
     def last_pieces(self, text: str, count: int) -> list[str]:
         """At least the last `count` pre-tokens of a text, or all.

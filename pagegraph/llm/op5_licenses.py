@@ -23,22 +23,62 @@ LONG, GAP, SHARE = 4, 12, 0.6
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Labels and wordings of notices and grants of public licences.
+#: Labels and wordings of public licences, whole where they are short, and of their notices and grants.
+_AS_IS = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("bsd", _BSD),
+    ("bsd-2-clause", f"{_BSD} {_AS_IS}"),
+    ("bsd-3-clause", f"{_BSD} neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_AS_IS}"),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
     ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
     ("gpl-2.0", "licensed under the gnu general public license version 2"),
     ("gpl-3.0", "licensed under the gnu general public license version 3"),
     ("gpl-notice", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-notice", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl", "licensed under the gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("cc-by-4.0", "licensed under cc by 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
@@ -58,7 +98,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """A generalised suffix automaton over word sequences, with the places of its states in the templates."""
+    """A generalised suffix automaton over word sequences, with the places of its states in the templates.
+
+    A state's strings end where those of the states below it in the tree of suffix links do: walked in order, these
+    are neighbours, so all places are one list and a state has a range of it.
+    """
 
     def __init__(self, sequences: list[list[bytes]]) -> None:
         self.next: list[dict[bytes, int]] = [{}]
@@ -69,12 +113,25 @@ class Automaton:
             for k, word in enumerate(words):
                 last = self._extend(last, word)
                 places[last].append((number, k + 1))
-        #: (template, end) of each state's strings, gathered up the suffix links.
-        self.places: list[list[tuple[int, int]]] = [[] for _ in self.next]
-        for state in sorted(range(len(self.next)), key=lambda s: -self.length[s]):
-            self.places[state] = sorted(set(self.places[state] + places.get(state, [])))
-            if self.link[state] > 0:
-                self.places[self.link[state]] += self.places[state]
+        below: list[list[int]] = [[] for _ in self.next]
+        for state in range(1, len(self.next)):
+            below[self.link[state]].append(state)
+        self.ends: list[tuple[int, int]] = []  # (template, end)
+        self.first, self.last = [0] * len(self.next), [0] * len(self.next)
+        waiting = [(0, False)]
+        while waiting:
+            state, left = waiting.pop()
+            if left:
+                self.last[state] = len(self.ends)
+                continue
+            self.first[state] = len(self.ends)
+            self.ends += places.get(state, [])
+            waiting.append((state, True))
+            waiting += [(s, False) for s in below[state]]
+
+    def places(self, state: int) -> list[tuple[int, int]]:
+        """(template, end) of the strings of a state."""
+        return self.ends[self.first[state] : self.last[state]]
 
     def _add(self, length: int) -> int:
         self.next.append({})
@@ -130,8 +187,10 @@ class Scanner:
         common = {w.encode() for w in COMMON}
         self.vocabulary = {w for s in sequences for w in s}
         self.rare = self.vocabulary - common
-        for s in sequences:  # a run without a rare word then holds no phrase and no long match
-            assert all(self.rare & set(s[k : k + min(LONG, len(s))]) for k in range(len(s) - min(LONG, len(s)) + 1)), s
+        for s in sequences:  # each phrase and each long match then holds a rare word
+            for k in range(len(s) - min(LONG, len(s)) + 1):
+                if self.rare.isdisjoint(s[k : k + LONG]):
+                    self.rare.add(max(s[k : k + LONG], key=lambda w: (len(w), w)))
         #: For each state the phrases that its strings end with, and their lengths: those of its suffix link and its own.
         self.full: list[list[tuple[int, int]]] = [[] for _ in self.automaton.next]
         for p in range(self.phrases):
@@ -168,7 +227,7 @@ class Scanner:
                 if k < end:
                     base += [(k + 1 - size, p) for p, size in self.full[now[0]] if size <= now[1]]
                 if before[1] >= LONG and now[1] <= before[1]:
-                    for p, at in self.automaton.places[before[0]]:
+                    for p, at in self.automaton.places(before[0]):
                         if p >= self.phrases and at >= before[1]:
                             matches[p].append((k - before[1], at - before[1], before[1]))
                 before = now
@@ -210,6 +269,12 @@ def _scanner(templates: tuple, phrases: tuple) -> Scanner:
     return Scanner(list(templates), dict(phrases))
 
 
+def templates_of(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Templates from a folder of licence texts, the file's name without ending being the label: for licences too long to be listed here."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").collect()  # a few hundred files at most
+    return sorted((r.name.rsplit(".", 1)[0].lower(), r.value) for r in rows)
+
+
 def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row per row of documents (doc_id, text): counts, labels, score and covered spans.
 

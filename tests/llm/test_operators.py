@@ -1,11 +1,13 @@
 """Operators on small fixtures: nulls, empty and repeated rows, ties, clashing extra columns, empty tables; brute force where SQL has no twin."""
 
+import gzip
 import hashlib
 import math
 import os
 import random
 import re
 import string
+import zlib
 from itertools import pairwise, product
 
 import numpy as np
@@ -283,6 +285,48 @@ def test_edits():
             assert tree.text() == text and tree.n_tokens == len(vocabulary.core.encode_ordinary(text))
 
 
+def test_edits_kept(spark, docs, empty):
+    """Trees that are written and read back: counts after edits against encoding anew; nulls, repeats, long texts, clashing columns."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = bpe.load(public_tokenizers.path("byte_bpe_50k.json")).core
+    assert Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("two words", add_special_tokens=False).ids == reference.encode_ordinary("two words")
+    long = " ".join(PROSE * 40)
+    edits = [(5, 3, "new words"), (10**9, 0, " tail"), (40, 10**9, None), (0, 0, "x" * 3000)]
+    rows = [(1, long, edits[:2], 7), (2, None, edits[:1], 7), (3, "", None, 7), (4, "a  b", [None, (1, 1, "\n\n")], 7), (5, long, [edits[2]], 7), (None, "c d", [], 7), (1, long, edits[:2], 7), (6, long, [edits[3]] * 3, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<at:long,deleted:long,inserted:string>>, n_tokens int")
+    got = op3_edits.edited_counts(frame).collect()
+
+    def by_hand(text, changes):
+        text = text or ""
+        for at, gone, new in changes:
+            text = text[: min(at, len(text))] + (new or "") + text[min(at, len(text)) + gone :]
+        return text
+
+    want = []
+    for doc_id, text, changes, _ in rows:
+        changes = [e for e in changes or [] if e is not None]
+        want.append((doc_id or 0, len(reference.encode_ordinary(text or "")), len(changes), len(reference.encode_ordinary(by_hand(text, changes)))))
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_edits, r.n_tokens_after) for r in got) == sorted(want)
+    work = {r.doc_id: r.n_pieces_encoded for r in got}
+    assert 0 < work[1] < 1000 and work[3] == 0  # of more than 30000 pre-tokens only those about the edits
+    assert op3_edits.edited_counts(empty.withColumn("edits", F.lit(None).cast("array<struct<at:long,deleted:long,inserted:string>>"))).count() == 0
+
+
+def test_edits_of_edited(spark):
+    """A kept tree is edited, kept and edited again."""
+    vocabulary, rng = bpe.load(bpe.default_path()), random.Random(12)
+    text = " ".join(PROSE * 5)
+    tree = op3_edits.CountTree(text, vocabulary)
+    for _ in range(40):
+        tree = op3_edits.CountTree(tree.state()[0], vocabulary, *tree.state()[1:])
+        at, gone, new = rng.randint(0, len(text)), rng.choice([0, 3, 700]), rng.choice(["", " y", "z" * 900, " q w e " * 300])
+        text = text[:at] + new + text[at + gone :]
+        tree.edit(at, gone, new)
+        assert tree.text() == text and tree.n_tokens == len(vocabulary.core.encode_ordinary(text))
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: r for r in op5_licenses.licenses(docs).collect()}
     for i, t in enumerate(texts()):
@@ -294,6 +338,34 @@ def test_licenses(docs, empty):
     assert op5_licenses.licenses(empty).count() == 0
 
 
+def test_licenses_brute_force(spark, tmp_path):
+    """Matching statistics and places by comparing all windows; labels, spans and score of altered templates."""
+    rng = random.Random(17)
+    sequences = [rng.choices("abc", k=rng.randint(1, 14)) for _ in range(8)]
+    automaton = op5_licenses.Automaton([[w.encode() for w in s] for s in sequences])
+    text = rng.choices("abcd", k=300)
+    for k, (state, n) in enumerate(automaton.stream([w.encode() for w in text])):
+        ends = lambda x: {(p, e) for p, s in enumerate(sequences) for e in range(len(x), len(s) + 1) if s[e - len(x) : e] == x}
+        longest = max((m for m in range(k + 2) if m == 0 or ends(text[k + 1 - m : k + 1])), default=0)
+        assert n == longest
+        if n:
+            assert set(automaton.places(state)) == ends(text[k + 1 - n : k + 1]) and len(automaton.places(state)) == len(set(automaton.places(state)))
+    whole = dict(op5_licenses.TEMPLATES[::-1])
+    mit, bsd3 = max((x for n, x in op5_licenses.TEMPLATES if n == "mit"), key=len).split(), whole["bsd-3-clause"].split()
+    filler = ["lorem", "ipsum", "dolor"]
+    changed = [w if k % 25 else "ACME" for k, w in enumerate(bsd3)]
+    rows = [(1, " ".join(filler * 5 + mit + filler)), (2, " ".join(filler + changed + filler)), (3, " ".join(mit[: len(mit) // 3])), (4, " ".join(mit[:60] + filler * 30 + mit[60:])), (5, " ".join(filler * 2000)), (5, " ".join(filler * 2000))]
+    got = {r.doc_id: r for r in op5_licenses.licenses(spark.createDataFrame([(k, x, "y", 1) for k, x in rows], "doc_id long, text string, labels string, n_words int")).collect()}
+    assert got[1].labels == "mit" and got[1].score == 1.0 and [(s.label, s.start, s.end) for s in got[1].spans] == [("mit", 15, 15 + len(mit))]
+    assert set(got[2].labels.split(",")) == {"bsd", "bsd-3-clause"} and 0.9 < got[2].score < 1
+    assert got[3].labels == "" and 0.2 < got[3].score < 0.4
+    assert got[4].labels == "mit" and got[5].labels == "" and got[5].score == 0
+    (tmp_path / "House-1.0.txt").write_text("The keeper of this house lets any guest copy the keys of its rooms.")
+    own = op5_licenses.templates_of(spark, str(tmp_path))
+    more = op5_licenses.licenses(spark.createDataFrame([(1, "so the keeper of this house lets any guest copy the keys of its rooms today")], "doc_id long, text string"), own)
+    assert own[0][0] == "house-1.0" and more.first().labels == "house-1.0"
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(1)
     words = {"xx": ["bana", "mola", "tika"], "yy": ["grosch", "pfund", "werst"]}
@@ -381,6 +453,36 @@ def test_archives(spark):
     assert op1_warc.archived(pages.limit(0)).count() == 0
 
 
+def test_archives_by_bytes(spark, tmp_path):
+    """Files are rolled by bytes, a record is a member that its offset reaches, and records of any size come back whole."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(map(chr, rng.choices(range(32, 127), k=n)))
+    sizes = [*[rng.randint(0, 3000) for _ in range(60)], 300_000, 2_000_000, 17_000_000, 70_000, 0]
+    rows = [(k, f"http://h/{k}", noise(1000) * (n // 1000) + noise(n % 1000), "x", 1) for k, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, type int").coalesce(1)
+    path = str(tmp_path / "arc")
+    op1_warc.write_arc(pages, path, 16)
+    files = sorted(p for p in os.listdir(path) if p.startswith("part-"))
+    plain = [gzip.decompress(open(f"{path}/{f}", "rb").read()) for f in files]
+    assert len(files) > 6 and all(p.startswith(b"filedesc://") for p in plain)
+    assert all(len(p) <= 17 * op1_warc.UNIT + max(sizes) + 2000 for p in plain) and sum(len(p) > 3_000_000 for p in plain) == 1
+    back = {r.source_id: r.payload for r in op1_warc.read_arc(spark, path).where("type = 'response'").collect()}
+    assert {k: bytes(v).decode() for k, v in back.items()} == {r[0]: r[2] for r in rows}
+    warc = str(tmp_path / "warc")
+    op1_warc.write_warc(op1_warc.read_arc(spark, path, "member"), op1_warc.revisits(op1_warc.read_arc(spark, path, "")), warc, count=16)
+    data = b"".join(open(f"{warc}/{f}", "rb").read() for f in sorted(os.listdir(warc)) if f.startswith("part-"))
+    first, at, members = b"", 0, 0
+    while at < len(data):  # member by member
+        reader = zlib.decompressobj(31)
+        first = reader.decompress(data[at:])
+        at = len(data) - len(reader.unused_data)
+        members += bool(first)
+        assert not first or first.startswith(b"WARC/1.1") or len(first) < 17_000_000
+    assert members >= len(rows)
+    got = op1_warc.archived(pages).collect()
+    assert {(r.page_id, r.payload_bytes, r.payload_digest) for r in got} == {(r[0], len(r[2]), hashlib.sha1(r[2].encode()).hexdigest()) for r in rows}
+
+
 def test_urls(spark):
     rows = [(1, "http://x.com/a", None), (2, "http://bad.net/es/1", '<a href="http://x.com/">'), (3, "http://www.example.com/en/1", ""), (4, "http://a.example.com/en/1", ""), (5, None, ""), (6, "nohost", ""), (7, "http://bad.net/q", ""), (8, "http://friend.org/", '<a href="//bad.net/x">'), (9, "HTTP://X.COM", "")]
     got = {r.page_id: r for r in op7_urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

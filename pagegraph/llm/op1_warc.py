@@ -1,10 +1,14 @@
 """Legacy archives: ARC files (versions 1 and 2) written, parsed by declared lengths, and converted to WARC.
 
-All files are written and read by Spark in the shared folder, gzipped; a file holds BLOCK records at
-most. An ARC file starts with a version block that names its fields; another one may follow at any
-record, so that files may be joined. The converter makes record ids, timestamps, types and
-digests of WARC records; of equal payloads of LEAST bytes or more the record with the
-largest source id is a response and the others are revisits of it.
+All files are written and read by Spark in the shared folder. A record is a gzip member of its own, so that
+it can be reached by its offset, and files are rolled by bytes. An ARC file starts with a version block that
+names its fields; another one may follow at any record, so that files may be joined. The converter makes
+record ids, timestamps, types and digests of WARC records; of equal payloads of LEAST bytes or more the record
+with the largest source id is a response and the others are revisits of it.
+
+Spark's text writer ends each row with a separator and starts a file anew after so many rows. Rows are gzip
+members here: a member of less than 16 MB ends with a zero byte, its size's highest, which is left to the
+separator; and a record that weighs more than one row is followed by empty members, which hold nothing.
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ from pyspark.sql import functions as F
 
 from pagegraph.llm.common import attach, drop_path, fresh_path, slices, table
 
-LEAST, BLOCK = 1000, 2000
+LEAST = 1000
+#: Bytes that weigh one row, and rows of a file: a file has at most about their product before compression, and one record.
+UNIT, ROWS = 1 << 16, 2048
 #: Bytes of payload after which a batch goes on.
 BATCH = 4 << 20
+#: Bytes of a gzip member at most: more is several members.
+MEMBER, LEVEL = 15 << 20, 6
 
 #: Fixed values of the format: the fields of a record's header line by version.
 FIELDS = {
@@ -42,39 +50,52 @@ def arc_header(version: int, url: str, date: str, kind: str, body: bytes, offset
     return f"{url} 0.0.0.0 {date} {kind}{more} {len(body)}"
 
 
-def write_arc(pages: DataFrame, path: str, block: int = BLOCK) -> None:
-    """ARC files of pages (page_id, url, html): each is a version block and `block` records, versions taking turns."""
+def member(data: bytes) -> bytes:
+    """The data as gzip, without the zero byte at its end."""
+    return b"".join(gzip.compress(data[k : k + MEMBER], LEVEL, mtime=0) for k in range(0, max(1, len(data)), MEMBER))[:-1]
+
+
+EMPTY = member(b"")
+
+
+def padding(size: int, row: int, rows: int) -> list[bytes]:
+    """What follows a record of so many bytes that made the number of rows `row`: empty members, to the file's end at most."""
+    return [EMPTY] * min(size // UNIT, -row % rows)
+
+
+def write_members(rows: DataFrame, path: str, count: int) -> None:
+    """Files of the gzip members in the column value, `count` in each."""
+    rows.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", count).option("lineSep", "\0").text(path)
+
+
+def write_arc(pages: DataFrame, path: str, count: int = ROWS) -> None:
+    """ARC files of pages (page_id, url, html): each is a version block and records, versions taking turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, offset, version = 0, 0, 1
         for batch in (part for whole in batches for part in slices(whole, 500, 8)):
-            out: list[str] = []
-            size = 0
+            out: list[bytes] = []
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n % block == 0:
-                    version, offset = 1 + n // block % 2, 0
-                    body = f"{version} 0 pagegraph\n{FIELDS[version]}\n"
-                    out.append(arc_header(version, "filedesc://pages.arc", "20000101000000", "text/plain", body.encode(), 0) + "\n" + body)
-                    offset += len(out[-1].encode()) + 1
-                payload = html or ""
+                if n % count == 0:
+                    version = 1 + n // count % 2
+                    body = f"{version} 0 pagegraph\n{FIELDS[version]}\n".encode()
+                    block = arc_header(version, "filedesc://pages.arc", "20000101000000", "text/plain", body, 0).encode() + b"\n" + body + b"\n"
+                    out.append(member(block))
+                    offset, n = len(block), n + 1
+                payload = (html or "").encode()
                 source = "" if page_id is None else f"X-Source-Id: {page_id}\r\n"
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{source}Content-Length: {len(payload.encode())}\r\n\r\n"
-                doc = head + payload
+                raw = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{source}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
                 at = datetime(2000, 1, 1, tzinfo=UTC) + timedelta(seconds=(page_id or 0) % 10**9)
-                raw = doc.encode()
-                line = arc_header(version, quote(url or "about:blank", safe=PRINTABLE), f"{at:%Y%m%d%H%M%S}", "text/html", raw, offset)
-                out.append(line + "\n" + doc)
-                offset += len(line) + len(raw) + 2
-                size += len(raw)
-                n += 1
-                if size >= BATCH:
-                    yield pa.record_batch([pa.array(out)], ["value"])
-                    out, size = [], 0
-            if out:
-                yield pa.record_batch([pa.array(out)], ["value"])
+                record = arc_header(version, quote(url or "about:blank", safe=PRINTABLE), f"{at:%Y%m%d%H%M%S}", "text/html", raw, offset).encode() + b"\n" + raw + b"\n"
+                offset += len(record)
+                out.append(member(record))
+                pads = padding(len(record), n + 1, count)
+                out += pads
+                n += 1 + len(pads)
+            yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(run, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", block + 1).option("lineSep", "\n").text(path)
+    write_members(rows.mapInArrow(run, "value binary"), path, count)
 
 
 def arc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -84,7 +105,7 @@ def arc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         line = line.rstrip(b"\r\n")
         if not line:
             continue
-        text = line.decode("utf-8", "surrogateescape")
+        text = line.decode("utf-8", "replace")
         length = int(text.rsplit(" ", 1)[1])
         body = stream.read(length)
         if len(body) < length:
@@ -111,18 +132,48 @@ def converted(fields: dict[str, str], body: bytes) -> tuple:
             if name.lower() == b"x-source-id":
                 source = int(value)
     digest = hashlib.sha1(body).hexdigest()
-    name = hashlib.sha1("\n".join((url, date, str(source), digest)).encode("utf-8", "surrogateescape")).digest()[:16]
+    name = hashlib.sha1("\n".join((url, date, str(source), digest)).encode()).digest()[:16]
     return f"<urn:uuid:{uuid.UUID(bytes=name, version=5)}>", kind, url, fields["ip-address"], date, fields["content-type"], source, head, body, len(body), digest
 
 
+def response(row: tuple) -> bytes:
+    """The WARC record of a converted record as it stands, whole."""
+    record_id, kind, url, ip, date, content_type, _, head, payload, _, digest = row
+    http = {"response": "application/http;msgtype=response", "warcinfo": "application/arc-version-block"}.get(kind, content_type)
+    place = [] if kind == "warcinfo" else [("WARC-Target-URI", url), ("WARC-IP-Address", ip)]
+    return warc_record(kind, record_id, date, place, digest, [], http, head + payload)
+
+
+def revisit(record_id: str, url: str, ip: str, date: str, digest: str, head: bytes, first: dict) -> bytes:
+    """The WARC record of a response whose payload is that of the record `first`."""
+    more = [
+        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", first["record_id"]),
+        ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", first["date"]), ("X-Refers-To-Source-Id", str(first["source_id"])),
+    ]
+    return warc_record("revisit", record_id, date, [("WARC-Target-URI", url), ("WARC-IP-Address", ip)], digest, more, "application/http;msgtype=response", head)
+
+
+def warc_record(kind: str, record_id: str, date: str, place: list[tuple[str, str]], digest: str, more: list[tuple[str, str]], content_type: str, block: bytes) -> bytes:
+    fields = [
+        ("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", date), *place, ("WARC-Payload-Digest", f"sha1:{digest}"), *more,
+        ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"), ("Content-Type", content_type), ("Content-Length", str(len(block))),
+    ]
+    return "".join(["WARC/1.1\r\n", *[f"{name}: {value}\r\n" for name, value in fields], "\r\n"]).encode() + block + b"\r\n\r\n"
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
 
-def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The converted records of all archives at a path; without payloads only their figures."""
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+def opened(content: pa.Scalar) -> BinaryIO:
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 20)
+
+
+def read_arc(spark: SparkSession, path: str, keep: str = "payload") -> DataFrame:
+    """The converted records of all archives at a path, with `keep`: the payload, the member that is their WARC record, or '' for neither."""
+    schema = f"{SCHEMA}, member binary"
+    kinds = [pa.string()] * 6 + [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.binary()]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -131,18 +182,18 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                with gzip.GzipFile(fileobj=io.BytesIO(content.as_py())) as plain:
-                    for record in arc_records(io.BufferedReader(plain, 1 << 20)):
-                        row = converted(*record)
-                        rows.append(row if payloads else (*row[:7], None, None, *row[9:]))
-                        size += len(row[8])
-                        if size >= BATCH or len(rows) >= 1000:
-                            yield made(rows)
-                            rows, size = [], 0
+                for record in arc_records(opened(content)):
+                    row = converted(*record)
+                    whole = member(response(row)) if keep == "member" else None
+                    rows.append((*row[:7], row[7] if keep else None, row[8] if keep == "payload" else None, *row[9:], whole))
+                    size += len(row[8])
+                    if size >= BATCH or len(rows) >= 1000:
+                        yield made(rows)
+                        rows, size = [], 0
                 if rows:
                     yield made(rows)
 
-    return read_files(spark, path).mapInArrow(run, SCHEMA)
+    return read_files(spark, path).mapInArrow(run, schema)
 
 
 def revisits(records: DataFrame, least: int = LEAST) -> DataFrame:
@@ -152,25 +203,26 @@ def revisits(records: DataFrame, least: int = LEAST) -> DataFrame:
     return groups.where("copies > 1 and first.source_id is not null").select("payload_digest", "first")
 
 
-def write_warc(records: DataFrame, first: DataFrame, path: str, least: int = LEAST, block: int = BLOCK) -> None:
-    """WARC files of converted records; `first` from revisits()."""
+def write_warc(records: DataFrame, first: DataFrame, path: str, least: int = LEAST, count: int = ROWS) -> None:
+    """WARC files of converted records with their members; `first` from revisits()."""
     rows = attach(records, first, ["payload_digest"], ["record_id"])
-    again = F.coalesce((F.col("type") == "response") & (F.col("payload_bytes") >= least) & F.col("first").isNotNull() & ~F.col("source_id").eqNullSafe(F.col("first.source_id")), F.lit(False))
-    body = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
+    own = (F.col("first.source_id") == F.col("source_id")) & (F.col("first.record_id") == F.col("record_id"))
+    again = (F.col("type") == "response") & (F.col("payload_bytes") >= least) & F.col("first").isNotNull() & ~F.coalesce(own, F.lit(False))
+    fields = ["record_id", "url", "ip", "date", "payload_digest", "head", "first"]
+    rows = rows.withColumn("again", F.coalesce(again, F.lit(False))).select(F.when(~F.col("again"), F.col("member")).alias("member"), "payload_bytes", F.when(F.col("again"), F.struct(*fields)).alias("again"))
 
-    def line(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in (part for whole in batches for part in slices(whole, 500, 8)):
+            out: list[bytes] = []
+            for whole, size, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.append(whole if x is None else member(revisit(*[x[f] for f in ("record_id", "url", "ip", "date", "payload_digest", "head", "first")])))
+                pads = padding(size if x is None else 0, n + 1, count)
+                out += pads
+                n += 1 + len(pads)
+            yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    kind = F.when(again, F.lit("revisit")).otherwise(F.col("type"))
-    http = F.when(F.col("type") == "response", F.lit("application/http;msgtype=response")).when(F.col("type") == "warcinfo", F.lit("application/arc-version-block")).otherwise(F.col("content_type"))
-    header = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")),
-        F.when(F.col("type") == "warcinfo", F.lit("")).otherwise(F.concat(line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("ip")))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.col("first.record_id")), line("WARC-Refers-To-Target-URI", F.col("first.url")), line("WARC-Refers-To-Date", F.col("first.date")), line("X-Refers-To-Source-Id", F.col("first.source_id").cast("string")))).otherwise(F.lit("")),
-        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(body))), line("Content-Type", http), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"),
-    )
-    rows.select(F.concat(header, body.cast("string")).alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", block).option("lineSep", "\r\n\r\n").text(path)
+    write_members(rows.mapInArrow(run, "value binary"), path, count)
 
 
 def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -183,7 +235,7 @@ def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         fields = {}
         while (line := stream.readline().rstrip(b"\r\n")):
             name, _, value = line.partition(b":")
-            fields[name.decode().lower()] = value.strip().decode("utf-8", "surrogateescape")
+            fields[name.decode().lower()] = value.strip().decode("utf-8", "replace")
         length = int(fields["content-length"])
         body = stream.read(length)
         if len(body) < length:
@@ -196,29 +248,34 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                with gzip.GzipFile(fileobj=io.BytesIO(content.as_py())) as plain:
-                    for fields, body in warc_records(io.BufferedReader(plain, 1 << 20)):
-                        if fields["warc-type"] == "warcinfo":
-                            continue
-                        if fields["warc-block-digest"] != "sha1:" + hashlib.sha1(body).hexdigest():
-                            raise ValueError(f"block digest of {fields['warc-record-id']} does not fit")
-                        head, payload = body, b""
-                        if fields["content-type"].startswith("application/http"):
-                            cut = body.find(b"\r\n\r\n") + 4
-                            head, payload = body[:cut], body[cut:]
-                        http = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        if fields["warc-type"] == "response" and digest != hashlib.sha1(payload).hexdigest():
-                            raise ValueError(f"payload digest of {fields['warc-record-id']} does not fit")
-                        page = int(http[b"x-source-id"]) if b"x-source-id" in http else None
-                        refers = fields.get("x-refers-to-source-id")
-                        rows.append((page, int(http[b"content-length"]), digest, fields["warc-type"], refers and int(refers), fields["warc-target-uri"], fields["warc-date"], fields["warc-record-id"]))
+                rows: list[tuple] = []
+                for fields, body in warc_records(opened(content)):
+                    if fields["warc-type"] == "warcinfo":
+                        continue
+                    if fields["warc-block-digest"] != "sha1:" + hashlib.sha1(body).hexdigest():
+                        raise ValueError(f"block digest of {fields['warc-record-id']} does not fit")
+                    head, payload = body, b""
+                    if fields["content-type"].startswith("application/http"):
+                        cut = body.find(b"\r\n\r\n") + 4
+                        head, payload = body[:cut], body[cut:]
+                    http = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
+                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                    if fields["warc-type"] == "response" and digest != hashlib.sha1(payload).hexdigest():
+                        raise ValueError(f"payload digest of {fields['warc-record-id']} does not fit")
+                    page = int(http[b"x-source-id"]) if b"x-source-id" in http else None
+                    refers = fields.get("x-refers-to-source-id")
+                    rows.append((page, int(http[b"content-length"]), digest, fields["warc-type"], refers and int(refers), fields["warc-target-uri"], fields["warc-date"], fields["warc-record-id"]))
+                    if len(rows) >= 1000:
+                        yield made(rows)
+                        rows = []
                 if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
+                    yield made(rows)
 
     return read_files(spark, path).mapInArrow(run, schema)
 
@@ -228,14 +285,14 @@ def archived(pages: DataFrame) -> DataFrame:
 
     Null html: an empty payload. Null or empty url: about:blank; characters that a header line can't
     hold are percent-encoded. Null page_id: null, a revisit where the group has an id, never one
-    that others revisit. Repeated rows: each has its record, and those with the largest page_id of
-    their group are all responses. Extra columns are not read.
+    that others revisit. Repeated rows: each has its record, and of those with the
+    largest page_id of their group the ones that are alike in all are responses. Extra columns are not read.
     """
     spark = pages.sparkSession
     arc, warc = fresh_path(spark, "op1-arc"), fresh_path(spark, "op1-warc")
     write_arc(pages, arc)
-    first = revisits(read_arc(spark, arc, payloads=False))
-    write_warc(read_arc(spark, arc), first, warc)
+    first = revisits(read_arc(spark, arc, ""))
+    write_warc(read_arc(spark, arc, "member"), first, warc)
     drop_path(spark, arc)
     return read_warc(spark, warc)
 

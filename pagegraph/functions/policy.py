@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagegraph.functions.urls import let
+
 RETRYABLE = [429, 500, 502, 503, 504]
 CONTENT = ["html", "javascript", "json", "xml"]
 
@@ -65,6 +67,8 @@ def html_safe_json(text: Column) -> Column:
     """JSON text in which <, >, & and the two line separators are escaped."""
     for c, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         text = F.replace(text, F.lit(c), F.lit(code))
+    for k in (*range(0x0B, 0x0C), *range(0x0E, 0x10), *range(0x1A, 0x20)):  # escapes of control characters have small letters
+        text = F.replace(text, F.lit(f"\\u00{k:02X}"), F.lit(f"\\u00{k:02x}"))
     return text
 
 
@@ -81,3 +85,36 @@ def token_from_json(body: Column) -> Column:
     tree = F.try_parse_json(body)
     strings = [F.when(F.schema_of_variant(F.try_variant_get(tree, f"$.{k}", "variant")) == "STRING", F.try_variant_get(tree, f"$.{k}", "string")) for k in TOKEN_KEYS]
     return F.coalesce(*[F.nullif(s, F.lit("")) for s in strings])
+
+
+def json_number(x: Column) -> Column:
+    """A double as a JSON number: the shortest digits, with an exponent below 1e-6 and from 1e21 on; null for what is no number."""
+    text = F.abs(x).cast("string")
+
+    def made(s: Column) -> Column:
+        whole, rest = F.regexp_extract(s, "^([0-9]+)", 1), F.regexp_replace(F.regexp_extract(s, "[.]([0-9]+)", 1), "^0$", "")
+        power = F.coalesce(F.nullif(F.regexp_extract(s, "E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+        digits = F.concat(whole, rest)
+        tail = F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest))
+        up = F.concat(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substring(digits, power + 2, F.lit(99)))).otherwise(""))
+        plain = F.when(power == 0, F.concat(whole, tail)).when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(up)
+        short = F.concat(whole, tail, F.when(power < 0, "e-").otherwise("e+"), F.abs(power).cast("string"))
+        return F.when((x != 0) & ((F.abs(x) < 1e-6) | (F.abs(x) >= 1e21)), short).otherwise(plain)
+
+    signed = F.concat(F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise(""), let(text, made))
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), signed)
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's bytes."""
+    hexed = F.hex(F.encode(text, "utf-8"))
+    byte = lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
+    places = F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1)
+    return F.when(F.length(hexed) == 0, F.lit(2166136261).cast("bigint")).otherwise(F.aggregate(places, F.lit(2166136261).cast("bigint"), lambda h, i: (h.bitwiseXOR(byte(i)) * 16777619) % (1 << 32)))
+
+
+def quoted(text: Column) -> Column:
+    """A text in double quotes, with quotes, backslashes and line ends escaped."""
+    for c, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(c), F.lit(code))
+    return F.concat(F.lit('"'), text, F.lit('"'))

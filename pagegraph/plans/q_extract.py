@@ -139,7 +139,12 @@ for _name, _source, _href in (
     R.add(_name, f"SELECT c_custkey AS page_id, {_href} AS href FROM customer")(_links(_source))
 
 
-@R.add("html_tokens")
+PLAIN = "regexp_replace(html, '<!--.*?-->|(<script)([^>]*>).*?</script>|<style.*?</style>|<title.*?</title>|<textarea.*?</textarea>|<iframe([^>]*>).*?</iframe>', '\\1\\2', 'gs')"
+SEEN = {"a_href": "<a\\s[^>]*\\bhref=\"[^\"]+\"", "script_src": "<script\\s[^>]*\\bsrc=\"[^\"]+\"", "img_src": "<img\\s[^>]*\\bsrc=\"[^\"]+\"", "link_href": "<link\\s[^>]*\\bhref=\"[^\"]+\""}
+SEEN_SQL = " UNION ALL ".join(f"SELECT page_id, 'link' AS kind, '{source}' AS source, len(regexp_extract_all(plain, '{pattern}')) AS n FROM p" for source, pattern in SEEN.items())
+
+
+@R.add("html_tokens", f"WITH p AS (SELECT page_id, {PLAIN} AS plain FROM pages) SELECT * FROM ({SEEN_SQL}) WHERE n > 0")
 def html_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discoveries of the page snapshots themselves."""
     return html.discoveries(table(spark, sf_dir, "pages")).groupBy("page_id", "kind", "source").agg(F.count("*").alias("n"))

@@ -717,3 +717,110 @@ def test_pipeline(spark):
     assert {r.doc_id for r in docs.collect()} == {1, 3, 5}
     masked = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
     assert masked[3].endswith(" <secret>")
+
+
+def rejected_and_cut(rows):
+    """Quality rules in plain Python: what is left of (doc_id, text, source) rows with different ids."""
+    normal = lambda x: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09\x0b-\x0d]+", " ", x.lower())).strip(" ")
+    held = {}
+    for doc_id, text, source in rows:
+        for line in {normal(x) for x in text.split("\n")} - {""}:
+            held.setdefault((source, line), set()).add(doc_id)
+    often = {k: min(v) for k, v in held.items() if len(v) > op4_quality.LIMIT}
+    out = []
+    for doc_id, text, source in rows:
+        words = re.findall(r"[^\x20\x09-\x0d]+", text)
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        again = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        if len(words) < 50 or 2 * len(again) > len(words):
+            continue
+        goes = lambda x: often.get((source, normal(x)), doc_id) != doc_id  # noqa: B023, E731
+        lines = {normal(x) for x in text.split("\n")} - {""}
+        size = lambda some: sum(len(x.split(" ")) for x in some)
+        lost = size(x for x in lines if often.get((source, x), doc_id) != doc_id)
+        if lost and 100 * lost > op4_quality.LOST * size(lines):
+            continue
+        out.append((doc_id, "\n".join(x for x in text.split("\n") if not goes(x)) if lost else text))
+    return out
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """All stages over a small corpus of every kind of document, against plain Python."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    common = [prose(12) for _ in range(8)]
+    items = [prose(rng.randint(9, 30)) for _ in range(12)]
+    rows = []
+
+    def add(text, source="s1"):
+        rows.append((len(rows), text, "en", source, len(text)))
+
+    for _ in range(60):
+        add("\n".join([prose(60), rng.choice(common), prose(rng.randint(5, 40))]))
+    for k in range(70):  # one line stands in more than LIMIT documents of a host
+        add("\n".join([prose(30), common[0], prose(30)]), "hot" if k < 60 else "s2")
+    for _ in range(55):  # and some documents hold little else
+        add("\n".join([*common[1:7], prose(3)]), "thin")
+    base = prose(150)
+    for _ in range(12):  # near copies
+        words = base.split()
+        for k in rng.choices(range(150), k=rng.randint(0, 9)):
+            words[k] = rng.choice(vocabulary)
+        add(" ".join(words))
+    for item in items[:8]:
+        add(f"{prose(60)} {item} {prose(20)}")
+    for k in range(6):
+        add(f"{prose(60)} password = hunter{k}{k}secret {prose(5)} AKIA{'ABCDEFGHIJ234567'} {prose(5)}")
+    add("")
+    add(prose(20))
+    add("same three words " * 60)
+    rng.shuffle(rows)
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    left = rejected_and_cut([(r[0], r[1], r[3]) for r in rows])
+    assert 60 < len(left) < len(rows) - 40
+    sets = {k: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for k, w in ((k, x.split()) for k, x in left)}
+    root = {k: k for k in sets}
+    for _ in range(len(sets)):
+        changed = False
+        for a in sets:
+            for b in sets:
+                if root[b] < root[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a], changed = root[b], True
+        if not changed:
+            break
+    left = [(k, x) for k, x in left if root[k] == k]
+    padded = lambda x: f" {' '.join(x.split())} "
+    left = [(k, x) for k, x in left if not any(padded(item) in padded(x) for item in items)]
+    kinds = [r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}", "AKIA[A-Z0-9]{16,}"]
+    left = [(k, re.sub("|".join(kinds), "<secret>", x)) for k, x in left]
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.no_truncation()
+    reference.no_padding()
+    want = {}
+    for k, x in left:
+        ids = reference.encode(x, add_special_tokens=False).ids
+        want[k] = len(ids), hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert got == want
+
+
+def test_pipeline_empty(spark, tmp_path):
+    """Empty tables, and documents that are all null, pass through every stage."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None)] * 3)):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert k == 4 or out.columns == docs.columns
+            assert out.count() == (0 if name == "none" or k == 0 else 3), k

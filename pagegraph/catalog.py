@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES: list[str] = ["plans.q_urls", "plans.q_stats", "plans.q_graph", "plans.q_extract", "plans.q_openapi", "plans.q_sites"]
+MODULES: list[str] = ["plans.q_urls", "plans.q_stats", "plans.q_graph", "plans.q_extract", "plans.q_openapi", "plans.q_sites", "plans.q_policy"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -22,10 +22,25 @@ def retry_delay_cap_ms(attempt: Column, header: Column) -> Column:
     return F.greatest(F.least(F.lit(30000), (500 * F.pow(F.lit(2.0), attempt)).cast("long")), retry_after_ms(header))
 
 
+def retryable(error: Column) -> Column:
+    """Whether a transport error may be tried again; false without an error."""
+    return F.coalesce(error != "too many redirects", F.lit(False))
+
+
+def exit_code(error: Column, status: Column) -> Column:
+    """0 without an error, the exit status if there is one, else -1."""
+    return F.when(error.isNull(), 0).otherwise(F.coalesce(status.cast("int"), F.lit(-1)))
+
+
+def routes(out: Column) -> Column:
+    """The writers of an output option: - is event lines alone, a path is what is shown and lines there, none is what is shown."""
+    lines = F.concat(F.lit("lines:"), out)
+    return F.when(out == "-", F.array(lines)).when(F.coalesce(out, F.lit("")) != "", F.array(F.lit("shown"), lines)).otherwise(F.array(F.lit("shown")))
+
+
 def should_retry(attempt: Column, status: Column, error: Column, most: int = 3) -> Column:
     """Transport errors, but not too many redirects, and the retryable statuses, while attempts are left."""
-    failed = error.isNotNull() & (error != "too many redirects")
-    return (attempt < most) & (failed | (error.isNull() & status.isin(*RETRYABLE)))
+    return (attempt < most) & (retryable(error) | (error.isNull() & status.isin(*RETRYABLE)))
 
 
 def legacy_retry(attempt: Column, status: Column, error: Column, most: int = 2) -> Column:

@@ -43,3 +43,15 @@ def patterns(url: Column, include: list[str], exclude: list[str]) -> Column:
 def composite(*policies: Column) -> Column:
     """All of them; none is true."""
     return reduce(lambda a, b: a & b, policies, F.lit(True))
+
+
+def assembled(url: Column, seed: Column, same_origin: bool = True, include_subdomains: bool = False, allow: list[str] = [], deny: list[str] = [], include: list[str] = [], exclude: list[str] = []) -> Column:  # noqa: B006
+    """The scope that a crawl's options make: the seed's origin, or its host and all under it, then domains, then patterns; without any all is in scope."""
+    policies = []
+    if same_origin:
+        policies.append(let(strip_port(host_of(seed)), lambda root: subdomain(url, root)) if include_subdomains else exact_origin(url, seed))
+    if allow or deny:
+        policies.append(allow_deny(url, allow, deny))
+    if include or exclude:
+        policies.append(patterns(url, include, exclude))
+    return composite(*policies)

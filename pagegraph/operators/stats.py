@@ -6,34 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegraph.functions.policy import classify_ratio
+from pagegraph.operators.ranks import numbered
 
 
 def nearest_rank(value: str, p: float) -> Column:
-    """The smallest value that at least p of the values do not exceed."""
+    """The smallest value that at least p of the values do not exceed; for groups of few different values."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast("bigint")
 
 
+def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, x, n, upto, all): the different values of each key, their counts, and how many values are not larger. Nulls do not count.
+
+    Rows are summed by key and value first, so a key with most rows is no single task, and what is ordered is spilled, not held.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    return counts.withColumns({"upto": F.sum("n").over(w.orderBy("x")), "all": F.sum("n").over(w)})
+
+
+def at_rank(p: float) -> Column:
+    """Of counted() rows the nearest-rank quantile, as an aggregate."""
+    return F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("x")))
+
+
 def metric_stats(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """min, max, mean (whole), median, p90, p95, p99, stddev (whole) per key; all in one aggregation."""
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.floor(F.sum(value) / F.count("*")).alias("mean"),
-        nearest_rank(value, 0.5).alias("median"), nearest_rank(value, 0.9).alias("p90"), nearest_rank(value, 0.95).alias("p95"), nearest_rank(value, 0.99).alias("p99"),
-        F.floor(F.coalesce(F.stddev_samp(value), F.lit(0.0))).alias("stddev"),
+    """min, max, mean (whole), median, p90, p95, p99, stddev (whole) per key, from the counts of its different values."""
+    x, n = F.col("x"), F.col("n")
+    out = counted(rows, [key], value).groupBy(key).agg(
+        F.sum("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum(x * n).alias("s"), *[at_rank(p).alias(name) for name, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))],
     )
+    spread = rows.groupBy(key).agg(F.floor(F.coalesce(F.stddev_samp(value), F.lit(0.0))).alias("stddev"))
+    return out.join(spread, key).select(key, "n", "min", "max", F.floor(F.col("s") / F.col("n")).alias("mean"), "median", "p90", "p95", "p99", "stddev")
 
 
 def mad(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Median absolute deviation about the nearest-rank median."""
-    middle = rows.groupBy(key).agg(nearest_rank(value, 0.5).alias("middle"))
-    return rows.join(middle, key).withColumn("off", F.abs(F.col(value) - F.col("middle"))).groupBy(key).agg(nearest_rank("off", 0.5).alias("mad"))
+    counts = counted(rows, [key], value)
+    middle = counts.groupBy(key).agg(at_rank(0.5).alias("middle"))
+    off = counts.join(middle, key).select(key, "n", F.abs(F.col("x") - F.col("middle")).alias("off")).groupBy(key, "off").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(key)
+    ranked = off.withColumns({"upto": F.sum("n").over(w.orderBy("off")), "all": F.sum("n").over(w)}).withColumnRenamed("off", "x")
+    return ranked.groupBy(key).agg(at_rank(0.5).alias("mad"))
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
     """sorted[n / 2] of each key; rows are counted by value first, so only different values of a key are ordered."""
-    counts = rows.groupBy(key, F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key)
-    ranked = counts.withColumns({"upto": F.sum("n").over(w.orderBy("x")), "all": F.sum("n").over(w)})
-    return ranked.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(key).agg(F.min("x").alias("median"))
+    return counted(rows, [key], value).where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(key).agg(F.min("x").alias("median"))
+
+
+def median_row(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """The row with the lower median of each key: of the rows with that value the one that the tie's order puts there."""
+    counts = counted(rows, [key], value).withColumn("k", F.floor((F.col("all") + 1) / 2))
+    middle = counts.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).select(F.col(key).alias("_key"), F.col("x").alias("_x"), (F.col("k") - F.col("upto") + F.col("n")).alias("_k"))
+    same = rows.join(middle, (F.col(key) == F.col("_key")) & (F.col(value) == F.col("_x")))
+    return numbered(same, [key], [tie], "_place").where(F.col("_place") == F.col("_k")).select(rows.columns)
 
 
 def averaged_median(value: str) -> Column:

@@ -32,7 +32,7 @@ def metric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("percentile_nearest_rank", f"WITH {S} SELECT workload, quantile_disc(d, 0.25) AS p25, quantile_disc(d, 0.75) AS p75 FROM s GROUP BY workload")
 def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).groupBy("workload").agg(stats.nearest_rank("d", 0.25).alias("p25"), stats.nearest_rank("d", 0.75).alias("p75"))
+    return stats.counted(samples(spark, sf_dir), ["workload"], "d").groupBy("workload").agg(stats.at_rank(0.25).alias("p25"), stats.at_rank(0.75).alias("p75"))
 
 
 @R.add("mad", f"WITH {S}, m AS (SELECT workload, quantile_disc(d, 0.5) AS m FROM s GROUP BY workload) SELECT workload, quantile_disc(abs(d - m), 0.5) AS mad FROM s JOIN m USING (workload) GROUP BY workload")
@@ -63,9 +63,7 @@ def rps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("median_row", f"WITH {S}, k AS (SELECT *, row_number() OVER (PARTITION BY workload ORDER BY d, run) AS k, count(*) OVER (PARTITION BY workload) AS n FROM s) SELECT workload, d, user_id AS backoff, run AS active FROM k WHERE k = (n + 1) // 2")
 def median_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures of the run with the median duration, all from that run."""
-    w = Window.partitionBy("workload")
-    rows = samples(spark, sf_dir).withColumns({"k": F.row_number().over(w.orderBy("d", "run")), "n": F.count("*").over(w)})
-    return rows.where(F.col("k") == F.floor((F.col("n") + 1) / 2)).select("workload", "d", F.col("user_id").alias("backoff"), F.col("run").alias("active"))
+    return stats.median_row(samples(spark, sf_dir), "workload", "d", "run").select("workload", "d", F.col("user_id").alias("backoff"), F.col("run").alias("active"))
 
 
 @R.add("cliffs_delta", f"WITH {S}, {AB}, x AS (SELECT a.workload, avg(sign(a.d - b.d)) AS delta FROM ab a JOIN ab b ON a.workload = b.workload AND a.tool = 'a' AND b.tool = 'b' GROUP BY 1) SELECT workload, round(delta, 9) AS delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM x")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.functions import scope, urls
+from pagegraph.operators.ranks import numbered
 from pagegraph.registry import Registry, table
 
 R = Registry()
@@ -263,11 +264,9 @@ def seed_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("host_waves", "SELECT page_id, floor((row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) ORDER BY page_id) - 1) / 4)::BIGINT AS wave FROM pages")
 def host_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waves of at most four pages of a host at a time."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(scope.host_of(F.col("url"))).orderBy("page_id"))
-    return table(spark, sf_dir, "pages").select("page_id", F.floor((rank - 1) / 4).alias("wave"))
+    """Waves of at most four pages of a host at a time; a host may have most of the pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", scope.host_of(F.col("url")).alias("host"))
+    return numbered(pages, ["host"], ["page_id"]).select("page_id", F.floor((F.col("rank") - 1) / 4).alias("wave"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

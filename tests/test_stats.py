@@ -3,6 +3,7 @@ import random
 import pytest
 
 from pagegraph.operators import stats
+from pagegraph.operators.ranks import numbered
 from pagegraph.plans import q_stats
 
 
@@ -14,6 +15,18 @@ def test_bootstrap_of_all_runs(spark, tmp_path):
     assert [tuple(r) for r in q_stats.bootstrap_ci(spark, str(tmp_path)).collect()] == [("page", -1000, -1000)]
 
 
+def test_numbered_hot_group(spark):
+    """A group with most rows is numbered over several tasks, as the small ones and those without a key are."""
+    rng = random.Random(6)
+    rows = [("hot", k) for k in range(3000)] + [(rng.choice(["a", "b", None]), k) for k in range(200)]
+    rng.shuffle(rows)
+    got = numbered(spark.createDataFrame(rows, "key string, at int").repartition(8), ["key"], ["at"]).collect()
+    want = {}
+    for key in ("hot", "a", "b", None):
+        want |= {(key, at): n for n, at in enumerate(sorted(at for k, at in rows if k == key), 1)}
+    assert {(r.key, r.at): r["rank"] for r in got} == want and len(got) == len(rows)
+
+
 def test_bootstrap_brute_force(spark):
     rng = random.Random(3)
     samples = {key: {t: [rng.choice([rng.randint(50, 150), 100]) + 40 * (t == "b") for _ in range(n)] for t, n in sizes} for key, sizes in {"odd": (("a", 31), ("b", 47)), "even": (("a", 40), ("b", 20)), "two": (("a", 1), ("b", 2))}.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegraph.functions.urls import canonicalize
-from pagegraph.storage import written
+from pagegraph.storage import written, written_counted
 
 #: Places in an origin's queue of documents that are looked at, and the bytes of a document at most.
 MOST, BYTES = 51, 50 << 20
@@ -45,15 +45,15 @@ def discovered(origins: DataFrame, files: DataFrame, documents: DataFrame, limit
     docs = written(parsed(documents), "sitemaps")
     number = F.row_number().over(Window.partitionBy("origin").orderBy("parent", "ord")) - 1  # a queue has MOST places, and an index is cut to as many
     level = told.union(usual).withColumn("parent", F.lit(0)).withColumn("place", number).select("origin", "place", "url").where(F.col("place") < MOST)
-    level = written(level, "sitemap-queue")
+    level, found = written_counted(level, "sitemap-queue")
     queue = level
-    while not level.isEmpty():  # a level of an index below another; each takes a place at least
+    while found:  # a level of an index below another; each takes a place at least
         first = Window.partitionBy("origin", "url").orderBy("place")
         live = queue.withColumn("again", F.row_number().over(first) > 1).where("not again").select("origin", "place")
         length = queue.groupBy("origin").agg(F.count("*").alias("taken"))
         children = level.join(live, ["origin", "place"]).join(docs.where("is_index"), "url").select("origin", F.col("place").alias("parent"), F.posexplode(F.slice("locs", 1, MOST)).alias("ord", "url"))
         below = children.withColumn("k", number).join(length, "origin").withColumn("place", (F.col("k") + F.col("taken")).cast("int"))
-        level = written(below.where(F.col("place") < MOST).select("origin", "place", "url"), "sitemap-queue")
+        level, found = written_counted(below.where(F.col("place") < MOST).select("origin", "place", "url"), "sitemap-queue")
         queue = queue.union(level)
     first = Window.partitionBy("origin", "url").orderBy("place")
     read = queue.withColumn("again", F.row_number().over(first) > 1).where("not again").join(docs.where("not is_index"), "url")

@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagegraph.storage import written
+from pagegraph.storage import written, written_counted
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int = 0) -> DataFrame:
-    """(url, parent, depth, ord) of pages reached from seeds (url) over edges (src, dst, ord).
+    """(url, parent, depth) of pages reached from seeds (url) over edges (src, dst, ord).
 
     One level at a time; a page's parent is the first in the order (parent's place in its level, place of the link).
     Every level is written to the shared folder, so the plan of a level holds one join, one minimum per
     page and one anti-join, whatever the depth. max_pages (0: none) cuts in the order of discovery.
     """
-    level = written(seeds.select("url").distinct().orderBy("url").select("url", F.lit(None).cast(seeds.schema["url"].dataType).alias("parent"), F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("place")), "bfs")
-    seen = level
+    level, found = written_counted(seeds.select("url").distinct().orderBy("url").select("url", F.lit(None).cast(seeds.schema["url"].dataType).alias("parent"), F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("place")), "bfs")
+    seen, counts = level, {0: found}
     for depth in range(1, max_depth + 1):
         reached = level.select(F.col("url").alias("src"), F.col("place").alias("parent_place")).join(edges, "src")
         first = reached.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("parent_place", "ord", "src")).alias("f"))
         new = first.join(seen.select("url"), "url", "left_anti")
         new = new.select("url", F.col("f.src").alias("parent"), F.lit(depth).alias("depth"), "f.parent_place", "f.ord")
         # Sorted by ranges, partitions and the numbers in them follow the order of discovery.
-        level = written(new.orderBy("parent_place", "ord", "url").select("url", "parent", "depth", F.monotonically_increasing_id().alias("place")), "bfs")
-        if level.isEmpty():
+        level, found = written_counted(new.orderBy("parent_place", "ord", "url").select("url", "parent", "depth", F.monotonically_increasing_id().alias("place")), "bfs")
+        if not found:
             break
+        counts[depth] = found
         seen = seen.unionByName(level)
     if max_pages:
         # The order is over depth ranges: pages of whole levels are counted first, only one level is ranked.
-        counts = {r.depth: r.n for r in seen.groupBy("depth").agg(F.count("*").alias("n")).collect()}  # max_depth + 1 rows
         left, cut = max_pages, -1
         for depth in sorted(counts):
             if counts[depth] > left:

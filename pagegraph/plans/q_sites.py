@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagegraph.functions import policy
 from pagegraph.operators import sitemaps, sites
+from pagegraph.plans import q_stats
 from pagegraph.registry import Registry, table
 from pagegraph.sources import tool_output
 
@@ -333,4 +334,32 @@ def report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("workload", text("| ", F.col("workload"), " | ", F.col("n"), " | ", times[0], " | ", times[1], " | ", times[2], " | ", F.col("p"), "/", F.col("n"), " | ", verdict, " |").alias("line"))
 
 
+@R.add(
+    "report_compare",
+    f"WITH {q_stats.TOOL}, c AS (SELECT workload, tool, max(found) AS found, max(total) AS total, bool_and(passed) AS fine, max(run) % 997 AS ms, sum(CASE WHEN found > 49 THEN 1 ELSE 0 END)::BIGINT AS extra FROM t GROUP BY 1, 2) "
+    "SELECT workload, tool, CASE WHEN tool = 3 THEN concat('| t', tool, ' | — | — | — | not installed |') ELSE concat('| t', tool, ' | ', found, ' / ', total, ' | ', found * 100 // total, '% | ', extra, ' | ', ms, 'ms', CASE WHEN fine THEN '' ELSE ' (nonzero exit)' END, ' |') END AS line FROM c",
+)
+def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each workload and tool: what it found, its recall, extras and time; a tool that is not there has dashes."""
+    c = q_stats.tool_rows(spark, sf_dir).groupBy("workload", "tool").agg(F.max("found").alias("found"), F.max("total").alias("total"), F.bool_and("passed").alias("fine"), (F.max("run") % 997).alias("ms"), F.count_if(F.col("found") > 49).alias("extra"))
+    recall = F.floor(F.col("found") * 100 / F.col("total"))
+    line = text("| t", F.col("tool"), " | ", F.col("found"), " / ", F.col("total"), " | ", recall, "% | ", F.col("extra"), " | ", F.col("ms"), "ms", F.when(F.col("fine"), "").otherwise(" (nonzero exit)"), " |")
+    return c.select("workload", "tool", F.when(F.col("tool") == 3, text("| t", F.col("tool"), " | — | — | — | not installed |")).otherwise(line).alias("line"))
+
+
+@R.add(
+    "report_scale",
+    f"WITH {q_stats.P}, {q_stats.E_}, g AS (SELECT *, lag(value) OVER (PARTITION BY family, excluded ORDER BY scale) AS before FROM e) SELECT family, scale, concat('| ', CASE WHEN scale % 1000 = 0 THEN concat(scale // 1000, 'k') ELSE CAST(scale AS VARCHAR) END, ' | ', "
+    "CASE WHEN excluded THEN 'excluded | |' WHEN before IS NULL THEN concat(value, ' | |') ELSE concat(value, ' | ', printf('%.2f', value / before), 'x |') END) AS line FROM g",
+)
+def report_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each scale of a family: its value and the growth since the measured point before, or that it is excluded."""
+    from pyspark.sql import Window
+
+    g = q_stats.points(spark, sf_dir).withColumn("before", F.lag("value").over(Window.partitionBy("family", "excluded").orderBy("scale")))
+    grown = text(F.col("value"), " | ", F.format_string("%.2f", F.col("value") / F.col("before")), "x |")
+    shown = F.when(F.col("excluded"), "excluded | |").when(F.col("before").isNull(), text(F.col("value"), " | |")).otherwise(grown)
+    return g.select("family", "scale", text("| ", policy.scale_label(F.col("scale")), " | ", shown).alias("line"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from pagegraph.storage import written, written_counted
 
 
+def levels(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """(url, depth) of pages reached from seeds (url) over edges (src, dst), at their least depth.
+
+    As bfs() without the order of discovery: a level is one join, one distinct and one anti-join, and is written.
+    """
+    level, found = written_counted(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "levels")
+    seen = level
+    for depth in range(1, max_depth + 1):
+        reached = level.select(F.col("url").alias("src")).join(edges, "src").select(F.col("dst").alias("url")).distinct()
+        level, found = written_counted(reached.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth")), "levels")
+        if not found:
+            break
+        seen = seen.union(level)
+    return seen
+
+
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int = 0) -> DataFrame:
     """(url, parent, depth) of pages reached from seeds (url) over edges (src, dst, ord).
 

@@ -30,17 +30,22 @@ WALK = f"WITH RECURSIVE {EDGES}, r AS (SELECT 0::BIGINT AS url, 0 AS depth UNION
 
 @R.add("crawl_bfs", f"{WALK} SELECT url, depth FROM m")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.bfs(seed(spark), edges(spark, sf_dir), 4).select("url", "depth")
+    return traverse.levels(seed(spark), edges(spark, sf_dir), 4).select("url", "depth")
 
 
-@R.add("bfs_order", f"{WALK} SELECT depth, count(*) AS pages, min(url) AS first, max(url) AS last FROM m GROUP BY depth")
+@R.add(
+    "bfs_order",
+    f"WITH RECURSIVE {EDGES}, r AS (SELECT 0::BIGINT AS url, NULL::BIGINT AS parent, 0 AS depth, [0] AS way UNION ALL SELECT g.dst, r.url, r.depth + 1, list_append(r.way, g.ord) FROM r JOIN g ON g.src = r.url WHERE r.depth < 4) "
+    "SELECT url, (arg_min(struct_pack(p := parent), (depth, way))).p AS parent, min(depth) AS depth FROM r GROUP BY url",
+)
 def bfs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.bfs(seed(spark), edges(spark, sf_dir), 4).groupBy("depth").agg(F.count("*").alias("pages"), F.min("url").alias("first"), F.max("url").alias("last"))
+    """Each page with the parent that comes first in the order of the frontier: by level, by the parents' order, by the place of the link."""
+    return traverse.bfs(seed(spark), edges(spark, sf_dir), 4).select("url", "parent", "depth")
 
 
 @R.add("depth_gate", f"{WALK} SELECT depth, count(*) AS pages FROM m WHERE depth < 2 GROUP BY depth")
 def depth_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.bfs(seed(spark), edges(spark, sf_dir), 4).where("depth < 2").groupBy("depth").agg(F.count("*").alias("pages"))
+    return traverse.levels(seed(spark), edges(spark, sf_dir), 4).where("depth < 2").groupBy("depth").agg(F.count("*").alias("pages"))
 
 
 @R.add("page_budget", f"{WALK} SELECT least(count(*), 40) AS pages FROM m")
@@ -50,7 +55,7 @@ def page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("oracle_counts", f"{WALK} SELECT (SELECT count(*) FROM m) AS requests, (SELECT count(*) FROM g JOIN m ON m.url = g.src WHERE m.depth < 4) AS discovered, (SELECT count(*) FROM g JOIN m ON m.url = g.src WHERE m.depth < 4) - (SELECT count(*) - 1 FROM m) AS duplicates")
 def oracle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = traverse.bfs(seed(spark), edges(spark, sf_dir), 4)
+    reached = traverse.levels(seed(spark), edges(spark, sf_dir), 4)
     links = edges(spark, sf_dir).join(reached.where("depth < 4").select(F.col("url").alias("src")), "src").agg(F.count("*").alias("discovered"))
     pages = reached.agg(F.count("*").alias("requests"))
     return pages.withColumn("k", F.lit(1)).join(links.withColumn("k", F.lit(1)), "k").select("requests", "discovered", (F.col("discovered") - F.col("requests") + 1).alias("duplicates"))
@@ -58,7 +63,7 @@ def oracle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("discoverable_paths", f"{WALK} SELECT concat('/', url) AS path FROM m WHERE url % 3 <> 0 OR url = 0")
 def discoverable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.bfs(seed(spark), edges(spark, sf_dir), 4).where("url % 3 <> 0 or url = 0").select(F.concat(F.lit("/"), F.col("url").cast("string")).alias("path"))
+    return traverse.levels(seed(spark), edges(spark, sf_dir), 4).where("url % 3 <> 0 or url = 0").select(F.concat(F.lit("/"), F.col("url").cast("string")).alias("path"))
 
 
 HOPS = "e AS (SELECT page_id AS src, CASE WHEN page_id % 8 = 7 AND page_id % 16 = 15 THEN page_id - 7 ELSE page_id + 1 END AS dst FROM pages WHERE page_id % 8 <> 7 OR page_id % 16 = 15)"

@@ -89,7 +89,7 @@ def request_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("frontier_capacity", f"{q_graph.WALK} SELECT depth, least(count(*), 20) AS queued, greatest(0, count(*) - 20) AS waiting FROM m GROUP BY depth")
 def frontier_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each level's pages those that find room in a frontier of twenty, and those that wait for it."""
-    level = traverse.bfs(q_graph.seed(spark), q_graph.edges(spark, sf_dir), 4).groupBy("depth").agg(F.count("*").alias("n"))
+    level = traverse.levels(q_graph.seed(spark), q_graph.edges(spark, sf_dir), 4).groupBy("depth").agg(F.count("*").alias("n"))
     return level.select("depth", F.least("n", F.lit(20)).alias("queued"), F.greatest(F.lit(0), F.col("n") - 20).alias("waiting"))
 
 

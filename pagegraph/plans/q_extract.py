@@ -111,13 +111,20 @@ def sourcemap_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three kinds of pages, by key: two that hold everything, in other spellings and with other fields, and one with a link only."""
     i = F.col("c_custkey")
-    page = text(
+    first = text(
         "<html><head><base href='/root/'><base href='/no/'><link href='/s.css'><meta http-equiv=Refresh content=\"0; URL='/next'\"></head><body data-url='{x}'><noscript><a href='/hidden'>h</a></noscript>",
         "<a href='/c", i, "?a=1&amp;b=2'>x</a><a href='mailto:x@y'>m</a><a href='#top'>t</a><img src='/i", i, ".png'><iframe src='/f'></iframe><button formaction='/b'>b</button><div data-href='/settings'></div><script src='/app.js'></script>",
         "<code>/api/v1/{id}</code><code>GET /a/b</code><form action='/login' method=post><input type=hidden name=csrf value=t", i, "><input type=email name=mail required><input name=nick><input type=button name=no><select name=col><option value=s><option value=blue selected></select><textarea name=note required>zz</textarea><input type=submit name=go value=1></form>",
         "<form action='/none'><input type=hidden name=h></form>",
     )
+    second = text(
+        "<!DOCTYPE html><HTML><BASE HREF=\"\"><Base\thref = /other/ ><!-- <a href='/no'> --><META CONTENT='5 ; url=/next' HTTP-EQUIV=REFRESH><LINK rel=x HREF=/s.css><SCRIPT SRC=\"/app.js\">var a = \"<a href='/no'>\";</SCRIPT>",
+        "<A title='>' HREF=\"/no\" href='/c", i, "?a=1&#38;b=2'>x<A HREF=javascript:x()>n</A><IMG SRC=/i", i, ".png><IFRAME src='/f'><a href='/no'></IFRAME><BUTTON formAction=/b>b</BUTTON><P data-HREF='/settings'>",
+        "<style>a { href: '<a href=/no>' }</style><CODE> /api/v2/x </CODE><FORM ACTION='/find?q=1'><INPUT NAME=n TYPE=Number REQUIRED><input name=q value='v&amp;w'><select name=s><option><option value=one><option value=two></select><INPUT TYPE=Hidden NAME=csrf VALUE=c", i, "></FORM>",
+    )
+    page = F.when(i % 3 == 0, first).when(i % 3 == 1, second).otherwise(text("<p><a href='/only", i, "'>y</a><form></form>"))
     return table(spark, sf_dir, "customer").select(i.alias("page_id"), page.alias("html"))
 
 
@@ -134,9 +141,10 @@ def _links(source: str):
 
 for _name, _source, _href in (
     ("links_anchor", "a_href", "concat('/c', c_custkey, '?a=1&b=2')"), ("links_link", "link_href", "'/s.css'"), ("links_script", "script_src", "'/app.js'"), ("links_img", "img_src", "concat('/i', c_custkey, '.png')"),
-    ("links_iframe", "iframe_src", "'/f'"), ("links_button", "button_formaction", "'/b'"), ("links_meta_refresh", "meta_refresh", "'/next'"), ("data_attr_links", "data-href", "'/settings'"), ("base_href", "base", "'/root/'"),
+    ("links_iframe", "iframe_src", "'/f'"), ("links_button", "button_formaction", "'/b'"), ("links_meta_refresh", "meta_refresh", "'/next'"), ("data_attr_links", "data-href", "'/settings'"), ("base_href", "base", "CASE c_custkey % 3 WHEN 0 THEN '/root/' ELSE '/other/' END"),
 ):
-    R.add(_name, f"SELECT c_custkey AS page_id, {_href} AS href FROM customer")(_links(_source))
+    _rest = "UNION ALL SELECT c_custkey, concat('/only', c_custkey) FROM customer WHERE c_custkey % 3 = 2" if _source == "a_href" else ""
+    R.add(_name, f"SELECT c_custkey AS page_id, {_href} AS href FROM customer WHERE c_custkey % 3 < 2 {_rest}")(_links(_source))
 
 
 PLAIN = "regexp_replace(html, '<!--.*?-->|(<script)([^>]*>).*?</script>|<style.*?</style>|<title.*?</title>|<textarea.*?</textarea>|<iframe([^>]*>).*?</iframe>', '\\1\\2', 'gs')"
@@ -150,45 +158,50 @@ def html_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.discoveries(table(spark, sf_dir, "pages")).groupBy("page_id", "kind", "source").agg(F.count("*").alias("n"))
 
 
-@R.add("code_paths", "SELECT c_custkey AS page_id, '/api/v1/{id}' AS path FROM customer")
+@R.add("code_paths", "SELECT c_custkey AS page_id, CASE c_custkey % 3 WHEN 0 THEN '/api/v1/{id}' ELSE '/api/v2/x' END AS path FROM customer WHERE c_custkey % 3 < 2")
 def code_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).where("kind = 'code'").select("page_id", extract.code_path(F.col("value")).alias("path")).where("path <> ''")
 
 
-@R.add("forms", "SELECT c_custkey AS page_id, '/login' AS action, 'POST' AS method, 4 AS n_params, 2 AS n_base FROM customer")
+@R.add("forms", "SELECT c_custkey AS page_id, '/login' AS action, 'POST' AS method, 4 AS n_params, 2 AS n_base FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, '/find?q=1', 'GET', 3, 1 FROM customer WHERE c_custkey % 3 = 1")
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).where("kind = 'form'").select("page_id", F.col("value").alias("action"), "method", F.size("params").alias("n_params"), F.size("base").alias("n_base"))
 
 
-@R.add("form_params", "SELECT c_custkey AS page_id, unnest(['col', 'mail', 'nick', 'note']) AS name, unnest(['blue', 'test@example.com', '', 'test']) AS value FROM customer")
+@R.add("form_params", "SELECT c_custkey AS page_id, unnest(['col', 'mail', 'nick', 'note']) AS name, unnest(['blue', 'test@example.com', '', 'test']) AS value FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, unnest(['n', 'q', 's']), unnest(['1', 'v&w', 'one']) FROM customer WHERE c_custkey % 3 = 1")
 def form_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).where("kind = 'form'").select("page_id", F.inline("params"))
 
 
-@R.add("form_select", "SELECT c_custkey AS page_id, 'blue' AS value FROM customer")
+@R.add("form_select", "SELECT c_custkey AS page_id, CASE c_custkey % 3 WHEN 0 THEN 'blue' ELSE 'one' END AS value FROM customer WHERE c_custkey % 3 < 2")
 def form_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return form_params(spark, sf_dir).where("name = 'col'").select("page_id", "value")
+    return form_params(spark, sf_dir).where("name in ('col', 's')").select("page_id", "value")
 
 
-@R.add("form_textarea", "SELECT c_custkey AS page_id, 'test' AS value FROM customer")
+@R.add("form_textarea", "SELECT c_custkey AS page_id, 'test' AS value FROM customer WHERE c_custkey % 3 = 0")
 def form_textarea(spark: SparkSession, sf_dir: str) -> DataFrame:
     return form_params(spark, sf_dir).where("name = 'note'").select("page_id", "value")
 
 
-@R.add("form_drop_empty", "SELECT count(*) AS forms FROM customer")
+@R.add("form_drop_empty", "SELECT count(*) AS forms FROM customer WHERE c_custkey % 3 < 2")
 def form_drop_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms without a field to fill are left out."""
     return found(spark, sf_dir).where("kind = 'form'").agg(F.count("*").alias("forms"))
 
 
-@R.add("login_form", "SELECT c_custkey AS page_id, '/login' AS action, concat('t', c_custkey) AS csrf FROM customer")
+@R.add("login_form", "SELECT c_custkey AS page_id, CASE c_custkey % 3 WHEN 0 THEN '/login' ELSE '/find?q=1' END AS action, concat(CASE c_custkey % 3 WHEN 0 THEN 't' ELSE 'c' END, c_custkey) AS csrf FROM customer WHERE c_custkey % 3 < 2")
 def login_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first form of a page and its hidden fields."""
     first = found(spark, sf_dir).where("kind = 'form'").groupBy("page_id").agg(F.min_by(F.struct("value", "base"), "ord").alias("f"))
     return first.select("page_id", F.col("f.value").alias("action"), F.filter("f.base", lambda b: b["name"] == "csrf")[0]["value"].alias("csrf"))
 
 
-@R.add("discoveries_all", "SELECT kind, source, n * (SELECT count(*) FROM customer) AS n FROM (VALUES ('link', 'a_href', 1), ('link', 'link_href', 1), ('link', 'script_src', 1), ('link', 'img_src', 1), ('link', 'iframe_src', 1), ('link', 'button_formaction', 1), ('link', 'meta_refresh', 1), ('link', 'data-href', 1), ('code', 'code_block', 2), ('form', 'form', 1), ('base', 'base', 1)) v(kind, source, n)")
+@R.add(
+    "discoveries_all",
+    "WITH c AS (SELECT count(*) FILTER (c_custkey % 3 = 0) AS a, count(*) FILTER (c_custkey % 3 = 1) AS b, count(*) FILTER (c_custkey % 3 = 2) AS r FROM customer) "
+    "SELECT kind, source, x * a + y * b + z * r AS n FROM c, (VALUES ('link', 'a_href', 1, 1, 1), ('link', 'link_href', 1, 1, 0), ('link', 'script_src', 1, 1, 0), ('link', 'img_src', 1, 1, 0), ('link', 'iframe_src', 1, 1, 0), ('link', 'button_formaction', 1, 1, 0), "
+    "('link', 'meta_refresh', 1, 1, 0), ('link', 'data-href', 1, 1, 0), ('code', 'code_block', 2, 1, 0), ('form', 'form', 1, 1, 0), ('base', 'base', 1, 1, 0)) v(kind, source, x, y, z)",
+)
 def discoveries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).groupBy("kind", "source").agg(F.count("*").alias("n"))
 
@@ -323,7 +336,7 @@ def bytes_received(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).where("type = 'page'").agg(F.sum("bytes_read").alias("bytes"))
 
 
-@R.add("discovery_counts", "SELECT count(*) AS forms, count(*) * 4 AS params FROM customer")
+@R.add("discovery_counts", "SELECT count(*) AS forms, sum(4 - c_custkey % 3)::BIGINT AS params FROM customer WHERE c_custkey % 3 < 2")
 def discovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).where("kind = 'form'").agg(F.count("*").alias("forms"), F.sum(F.size("params")).alias("params"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,20 @@ def slices(batch: pa.RecordBatch, rows: int = 1000, mb: int = 16) -> Iterator[pa
         at = end
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> Iterator[None]:
+    """Bounds the Arrow batches of what is written meanwhile; the session's own settings come back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(mb << 20)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def attach(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str | Column], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Joins `one` (a row per key at most) to `many`, whose keys may be hot.
 

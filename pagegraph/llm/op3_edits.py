@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm import bpe
-from pagegraph.llm.common import map_batches, table, written
+from pagegraph.llm.common import map_batches, small_batches, table, written
 
 BLOCK = 64
 
@@ -236,7 +236,8 @@ def edited_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     Repeated rows, and rows without a doc_id, are each counted. Extra columns are not read.
     """
     edits = F.col("edits").cast("array<struct<at:bigint,deleted:bigint,inserted:string>>").alias("edits")
-    kept = written(trees(docs.select("doc_id", "text", edits), "edits", path=path), "op3-trees")
+    with small_batches(docs.sparkSession):
+        kept = written(trees(docs.select("doc_id", "text", edits), "edits", path=path), "op3-trees")
     return edited(kept, path).select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pieces_encoded")
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, components, drop_table, map_batches, table, written
+from pagegraph.llm.common import attach, components, drop_table, map_batches, small_batches, table, written
 from pagegraph.llm.shingles import mixed, shingle_sets, signatures
 
 CHUNKS, CHUNK, ERRORS = 12, 4, 1
@@ -168,7 +168,7 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (key, id, comp) of the buckets whose members are in several components."""
-    now = attach(members.select("key", "id"), roots.withColumnRenamed("node", "id"), ["id"], ["key"]).select("key", "id", F.coalesce("root", "id").alias("comp"))
+    now = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     now = written(now, "op6-members")
     mixed_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     out = written(attach(now, mixed_keys, ["key"], ["id"], "inner"), "op6-mixed")
@@ -300,6 +300,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     documents with the same set, null if there is none. Extra columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with small_batches(docs.sparkSession):  # all that runs in Python is written here
+        rows, labels = labelled(docs)
+    out = attach(rows.select("doc_id", "n_shingles", "fp"), labels, ["fp"], [F.coalesce("doc_id", F.lit(0))])
+    component: Column = F.coalesce("root", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' profiles, and (fp, root) of each different set."""
     rows = written(profile(docs), "op6-profile")
     sets = rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     sets = written(sets, "op6-sets")
@@ -308,10 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not same.isEmpty():  # a doc_id with several sets ties them together
         ties = rows.join(same, "doc_id", "left_semi").join(sets.select("fp", "id"), "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         roots = components(ties.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    labels = sets.select("fp", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("root"))
-    out = attach(rows.select("doc_id", "n_shingles", "fp"), labels, ["fp"], [F.coalesce("doc_id", F.lit(0))])
-    component: Column = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return rows, sets.select("fp", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("root"))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

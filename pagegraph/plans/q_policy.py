@@ -38,12 +38,12 @@ def retryable_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("retryable", policy.retryable(F.col("error")))
 
 
-@R.add("websocket_prescan", "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN [] ELSE ['wss://w.example/' || page_id] END AS found FROM pages")
+@R.add("websocket_prescan", "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN '' ELSE 'wss://w.example/' || page_id END AS found FROM pages")
 def websocket_prescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources without a trace of a socket are not searched, whatever else they hold."""
     i = F.col("page_id")
     body = F.when(i % 3 == 0, text('new WebSocket("wss://w.example/', i, '")')).when(i % 3 == 1, text('let a = "wss://w.example/', i, '"')).otherwise(text('let a = "https://w.example/', i, '"; websocket()'))
-    return table(spark, sf_dir, "pages").select("page_id", extract.sockets(body, F.lit("https://o.example")).alias("found"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(extract.sockets(body, F.lit("https://o.example")), " ").alias("found"))
 
 
 @R.add("attribute_last_wins", "SELECT c_custkey AS page_id, unnest(['a_href', 'base', 'img_src']) AS source, unnest([concat('/b', c_custkey), '/first/', '/i.png']) AS value FROM customer")
@@ -71,12 +71,12 @@ def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("k", policy.exit_code(F.col("error"), F.col("status")).alias("code"))
 
 
-@R.add("output_routes", "SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN '-' WHEN 1 THEN concat('/out/', n_nationkey) END AS out, CASE n_nationkey % 3 WHEN 0 THEN ['lines:-'] WHEN 1 THEN ['shown', concat('lines:/out/', n_nationkey)] ELSE ['shown'] END AS writers FROM nation")
+@R.add("output_routes", "SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN '-' WHEN 1 THEN concat('/out/', n_nationkey) END AS out, CASE n_nationkey % 3 WHEN 0 THEN 'lines:-' WHEN 1 THEN concat('shown lines:/out/', n_nationkey) ELSE 'shown' END AS writers FROM nation")
 def output_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an output option leads to."""
     k = F.col("n_nationkey")
     out = F.when(k % 3 == 0, "-").when(k % 3 == 1, text("/out/", k))
-    return table(spark, sf_dir, "nation").select(k.alias("k"), out.alias("out")).withColumn("writers", policy.routes(F.col("out")))
+    return table(spark, sf_dir, "nation").select(k.alias("k"), out.alias("out")).withColumn("writers", F.array_join(policy.routes(F.col("out")), " "))
 
 
 @R.add("request_schedule", "SELECT page_id, (row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) ORDER BY page_id) * 250)::BIGINT AS start_ms FROM pages")

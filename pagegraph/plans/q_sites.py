@@ -139,6 +139,40 @@ def site_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.served(requests, F.broadcast(site))  # six rows, always
 
 
+# The twenty workloads, built from the same parameters in SQL.
+WORK = (
+    f"RECURSIVE w(workload, shape, n, width, moved_every, failed_every) AS (VALUES {', '.join(map(str, sites.WORKLOADS))}), k AS (SELECT *, unnest(range(n)) AS page FROM w), "
+    "p AS (SELECT *, CASE WHEN page > 0 AND failed_every > 0 AND page % greatest(failed_every, 1) = failed_every - 1 THEN 503 WHEN page > 0 AND moved_every > 0 AND page % greatest(moved_every, 1) = moved_every - 1 THEN 301 ELSE 200 END AS status FROM k), "
+    "l AS (SELECT workload, page AS src, page + 1 AS dst, 0 AS ord, status FROM p WHERE shape = 'chain' AND page + 1 < n UNION ALL SELECT workload, page, unnest(range(1, n)), unnest(range(n - 1)), status FROM p WHERE shape = 'fan' AND page = 0 "
+    "UNION ALL SELECT p.workload, page, page * width + 1 + i, i, status FROM p, (SELECT unnest(range(20)) AS i) WHERE shape = 'tree' AND i < width AND page * width + 1 + i < n UNION ALL SELECT workload, page, (page + 1) % n, 0, status FROM p WHERE shape = 'ring' "
+    "UNION ALL SELECT workload, page, page + 1, 0, status FROM p WHERE shape = 'grid' AND page % width < width - 1 AND page + 1 < n UNION ALL SELECT workload, page, page + width, CASE WHEN page % width < width - 1 AND page + 1 < n THEN 1 ELSE 0 END, status FROM p WHERE shape = 'grid' AND page + width < n "
+    "UNION ALL SELECT workload, page, (page * 7 + 3) % n, 0, status FROM p WHERE shape = 'web' UNION ALL SELECT workload, page, (page * 11 + 5) % n, 1, status FROM p WHERE shape = 'web'), "
+    "e AS (SELECT * FROM l WHERE status = 200 OR (status = 301 AND ord = 0))"
+)
+
+
+@R.add("workload_pages", f"WITH {WORK} SELECT workload, count(*) AS pages, count(*) FILTER (status = 301) AS moved, count(*) FILTER (status = 503) AS failing FROM p GROUP BY workload")
+def workload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.workload_pages(spark).groupBy("workload").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == 301).alias("moved"), F.count_if(F.col("status") == 503).alias("failing"))
+
+
+@R.add("workload_links", f"WITH {WORK} SELECT workload, src, dst, ord::INTEGER AS ord FROM e")
+def workload_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.workload_links(spark)
+
+
+@R.add("workload_reach", f"WITH {WORK}, r AS (SELECT workload, 0::BIGINT AS page, 0 AS depth FROM w UNION SELECT e.workload, e.dst, r.depth + 1 FROM r JOIN e ON e.workload = r.workload AND e.src = r.page WHERE r.depth < 12), m AS (SELECT workload, page, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT workload, count(*) AS reached, max(depth)::INTEGER AS deepest FROM m GROUP BY workload")
+def workload_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawl of twelve levels gets to in each workload."""
+    from pagegraph.operators import traverse
+
+    key = lambda c: F.struct("workload", F.col(c).alias("page"))
+    edges = sites.workload_links(spark).select(key("src").alias("src"), key("dst").alias("dst"))
+    seeds = sites.workload_pages(spark).where("page = 0").select(key("page").alias("url"))
+    reached = traverse.levels(seeds, edges, 12).select("url.workload", "depth")
+    return reached.groupBy("workload").agg(F.count("*").alias("reached"), F.max("depth").alias("deepest"))
+
+
 # Output of other crawlers: three lines for each customer, in runs of a nation.
 N = lambda: F.col("c_nationkey")
 RUN = "c_nationkey AS run"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm import op4_quality, op6_neardup, op8_bpe, op9_secrets, op10_decontaminate
-from pagegraph.llm.common import table, written
+from pagegraph.llm.common import drop_table, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for k, (name, stage) in enumerate(STAGES):
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if k:
+            drop_table(docs)  # the stage before, which nothing reads any more
+        docs = kept
     return docs

@@ -289,6 +289,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         found = found.union(written(link_forest(components(near), reps, roots, docs), "op6-links"))
         roots = components(found)
     drop_table(near)
+    drop_table(found)
     return roots
 
 

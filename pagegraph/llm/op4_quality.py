@@ -67,7 +67,8 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 def removed_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """For each document (KEY) that loses lines: their hashes and the words of these lines."""
-    lines = F.array_distinct(F.transform(F.filter(normal_lines(F.col("text")), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w"))))
+    lines = F.filter(F.array_distinct(normal_lines(F.col("text"))), lambda x: x != "")  # of texts: of structs each is compared with each
+    lines = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
     rows = keyed(docs).select(*KEY, F.explode(lines).alias("line")).select(*KEY, "line.h", "line.w")
     # One row per document and line, written once: it is counted and joined with the counts. Repeated rows are one.
     held = written(rows.groupBy("h", *KEY).agg(F.first("w").alias("w")), "op4-held")

@@ -40,7 +40,8 @@ def _windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     first = np.searchsorted(starts, np.concatenate(([0], stops)))
     rolled = words.copy()
     for k in range(1, width):
-        rolled[: len(words) - k] = rolled[: len(words) - k] * STEP + words[k:]
+        last = max(0, len(words) - k)
+        rolled[:last] = rolled[:last] * STEP + words[k:]
     rolled = mixed(rolled)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -106,6 +106,38 @@ def test_neardup_large_group(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root.tolist()))
 
 
+def test_shingles_of_few_words():
+    """Texts of any number of words, alone or side by side, against windows as tuples."""
+    texts = [" ".join(PROSE[k : k + n]) for k in range(3) for n in range(9)] + [None, "", "Ab\tC", "ab c", "x" * 3_000_000, " \n"]
+    alone = [shingle_sets([t])[0] for t in texts]
+    for some in (texts, texts[::-1], texts[1:4], texts[2:3], texts[-3:]):
+        assert all((x == alone[texts.index(t)]).all() for t, x in zip(some, shingle_sets(some), strict=True))
+    ways = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    assert [len(x) for x in alone] == [len(w) for w in ways]
+    for a, x in zip(ways, alone, strict=True):
+        assert all((len(a & b) > 0) == (len(np.intersect1d(x, y)) > 0) for b, y in zip(ways, alone, strict=True))
+
+
+def test_long_texts(spark):
+    """Very long texts of one word, of many lines and of one line repeated, alone in their partitions, pass every operator."""
+    rng = random.Random(41)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=100_000)), "ab" * 500_000, "\n".join(" ".join(rng.choices(words, k=6)) for _ in range(20_000)), "same line here again\n" * 30_000, "short one"]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    items = spark.createDataFrame([(1, " ".join(words[:30])), (2, texts[0][1000:1200])], "item_id long, text string")
+    kept = {r.doc_id: r.kept for r in op4_quality.quality(docs).collect()}
+    assert kept == {0: True, 1: False, 2: True, 3: False, 4: False}
+    assert {r.doc_id: r.component_id for r in op6_neardup.near_duplicates(docs).collect()} == {k: k for k in range(5)}
+    assert {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, items).collect()} == {(0, 2)}
+    assert [r.spans for r in op9_secrets.secrets(docs).where("doc_id in (0, 4)").collect()] == ["", ""]
+    assert op5_licenses.licenses(docs).where("labels <> ''").count() == 0
+    got = {r.doc_id: r.n_tokens for r in op8_bpe.round_trip(docs).collect()}
+    reference = bpe.load(bpe.default_path()).core
+    assert all(got[k] == len(reference.encode_ordinary(texts[k])) for k in (0, 2, 3, 4))
+    assert op2_langid.identified(docs).where("lang_pred = 'en'").count() == 5
+
+
 def test_shared_counts():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(30)]

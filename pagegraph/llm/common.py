@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +48,11 @@ def slices(batch: pa.RecordBatch, rows: int = 1000, mb: int = 16) -> Iterator[pa
         at = end
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> Iterator[None]:
-    """Bounds the Arrow batches of what is written meanwhile; the session's own settings come back."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(mb << 20)}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def bounded(spark: SparkSession, mb: int = 16) -> None:
+    """Where the session has no bound of its own, its Arrow batches get one, the same for all operators: buffers of long texts would add up beside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(mb << 20))
 
 
 def attach(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str | Column], how: str = "left", salts: int = SALTS) -> DataFrame:
@@ -77,6 +69,7 @@ def attach(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str |
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, rows: int = 1000, mb: int = 16) -> DataFrame:
     """mapInArrow for a function of one batch, which gets it in slices."""
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

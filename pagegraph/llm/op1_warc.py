@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, drop_path, fresh_path, slices, small_batches, table
+from pagegraph.llm.common import attach, bounded, drop_path, fresh_path, slices, table
 
 LEAST = 1000
 #: Bytes that weigh one row, and rows of a file: a file has at most about their product before compression, and one record.
@@ -290,9 +290,9 @@ def archived(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     arc, warc = fresh_path(spark, "op1-arc"), fresh_path(spark, "op1-warc")
-    with small_batches(spark, 500, 8):
-        write_arc(pages, arc)
-        write_warc(read_arc(spark, arc, "member"), revisits(read_arc(spark, arc, "")), warc)
+    bounded(spark)
+    write_arc(pages, arc)
+    write_warc(read_arc(spark, arc, "member"), revisits(read_arc(spark, arc, "")), warc)
     drop_path(spark, arc)
     return read_warc(spark, warc)
 

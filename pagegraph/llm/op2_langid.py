@@ -32,6 +32,8 @@ BATCH, LENGTH, LEAST = 64, 50, 2
 LONGEST = 100
 #: Steps of a sequence whose marginals are held at once.
 STEPS = 4096
+#: Words whose features are held at once.
+AT_ONCE = 10_000
 #: Letters with the marks on them.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -105,6 +107,10 @@ class Field:
         self.labels, self.weights, self.move, self.lexicon = labels, weights, move, lexicon
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        """The log-potentials of the labels of each word; features of AT_ONCE words are held at once."""
+        return np.concatenate([self._emissions(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)])
+
+    def _emissions(self, words: list[str]) -> np.ndarray:
         ids, starts = features(words, len(self.weights))
         out = np.add.reduceat(self.weights[ids], starts)
         ends = np.append(starts[1:], len(ids)) - 1  # the last feature is the word itself

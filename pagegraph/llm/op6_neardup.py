@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import attach, components, drop_table, map_batches, small_batches, table, written
+from pagegraph.llm.common import attach, bounded, components, drop_table, map_batches, table, written
 from pagegraph.llm.shingles import mixed, shingle_sets, signatures
 
 CHUNKS, CHUNK, ERRORS = 12, 4, 1
@@ -301,8 +301,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     documents with the same set, null if there is none. Extra columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with small_batches(docs.sparkSession):  # all that runs in Python is written here
-        rows, labels = labelled(docs)
+    bounded(docs.sparkSession)
+    rows, labels = labelled(docs)
     out = attach(rows.select("doc_id", "n_shingles", "fp"), labels, ["fp"], [F.coalesce("doc_id", F.lit(0))])
     component: Column = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

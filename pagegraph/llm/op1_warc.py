@@ -144,13 +144,15 @@ def response(row: tuple) -> bytes:
     return warc_record(kind, record_id, date, place, digest, [], http, head + payload)
 
 
-def revisit(record_id: str, url: str, ip: str, date: str, digest: str, head: bytes, first: dict) -> bytes:
-    """The WARC record of a response whose payload is that of the record `first`."""
+def revisit(whole: bytes, first: dict) -> bytes:
+    """The WARC record of a response, given as its member, whose payload is that of the record `first`."""
+    fields, block = next(warc_records(io.BytesIO(gzip.decompress(whole + b"\0"))))
     more = [
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", first["record_id"]),
         ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", first["date"]), ("X-Refers-To-Source-Id", str(first["source_id"])),
     ]
-    return warc_record("revisit", record_id, date, [("WARC-Target-URI", url), ("WARC-IP-Address", ip)], digest, more, "application/http;msgtype=response", head)
+    place = [("WARC-Target-URI", fields["warc-target-uri"]), ("WARC-IP-Address", fields["warc-ip-address"])]
+    return warc_record("revisit", fields["warc-record-id"], fields["warc-date"], place, fields["warc-payload-digest"].removeprefix("sha1:"), more, fields["content-type"], block[: block.find(b"\r\n\r\n") + 4])
 
 
 def warc_record(kind: str, record_id: str, date: str, place: list[tuple[str, str]], digest: str, more: list[tuple[str, str]], content_type: str, block: bytes) -> bytes:
@@ -205,18 +207,18 @@ def revisits(records: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write_warc(records: DataFrame, first: DataFrame, path: str, least: int = LEAST, count: int = ROWS) -> None:
     """WARC files of converted records with their members; `first` from revisits()."""
-    rows = attach(records, first, ["payload_digest"], ["record_id"])
+    # Only what decides travels with the member: a revisit's fields are read from the member that it replaces.
+    rows = attach(records.select("payload_digest", "record_id", "source_id", "type", "payload_bytes", "member"), first, ["payload_digest"], ["record_id"])
     own = (F.col("first.source_id") == F.col("source_id")) & (F.col("first.record_id") == F.col("record_id"))
     again = (F.col("type") == "response") & (F.col("payload_bytes") >= least) & F.col("first").isNotNull() & ~F.coalesce(own, F.lit(False))
-    fields = ["record_id", "url", "ip", "date", "payload_digest", "head", "first"]
-    rows = rows.withColumn("again", F.coalesce(again, F.lit(False))).select(F.when(~F.col("again"), F.col("member")).alias("member"), "payload_bytes", F.when(F.col("again"), F.struct(*fields)).alias("again"))
+    rows = rows.select("member", "payload_bytes", F.when(F.coalesce(again, F.lit(False)), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in (part for whole in batches for part in slices(whole, 500, 8)):
             out: list[bytes] = []
             for whole, size, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append(whole if x is None else member(revisit(*[x[f] for f in ("record_id", "url", "ip", "date", "payload_digest", "head", "first")])))
+                out.append(whole if x is None else member(revisit(whole, x)))
                 pads = padding(size if x is None else 0, n + 1, count)
                 out += pads
                 n += 1 + len(pads)

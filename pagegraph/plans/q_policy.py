@@ -11,7 +11,7 @@ from pagegraph.operators.ranks import numbered
 from pagegraph.plans import q_graph
 from pagegraph.plans.q_extract import text
 from pagegraph.plans.q_urls import HOST_SQL, VARIANT_SQL, variants
-from pagegraph.registry import Registry, table
+from pagegraph.registry import Registry, dealt, table
 
 R = Registry()
 HOST_PORT = "lower(regexp_extract({0}, '^([A-Za-z]+://[^/?#]*)', 1))"
@@ -59,7 +59,7 @@ def yaml_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and names that YAML reads as numbers or truth values are texts."""
     body = "openapi: 3.0.0\n1: one\npaths:\n  /200:\n    get:\n      parameters:\n        - {name: 7, in: query}\n        - {name: 'true', in: query}\n      responses:\n        200: {description: fine}\n"
     source = F.concat(F.lit("https://a"), F.col("p_partkey").cast("string"), F.lit(".example/spec.yaml"))
-    rows = openapi.flattened(table(spark, sf_dir, "part").select(source.alias("source_url"), F.lit(body).alias("body")))
+    rows = openapi.flattened(dealt(spark, sf_dir, "part", "p_partkey").select(source.alias("source_url"), F.lit(body).alias("body")))
     return rows.select("url", "method", F.array_join("query_params", ",").alias("query_params"))
 
 

@@ -51,7 +51,7 @@ def attribute_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in any case; of repeated attributes the last counts, of base elements the first that is not empty."""
     k = F.col("c_custkey")
     page = text('<base href=""><base href="/first/"><base href="/second/"><a HREF="/a', k, '" href="/b', k, '">x</a><IMG SRC="" src="/i.png">')
-    return html.discoveries(table(spark, sf_dir, "customer").select(k.alias("page_id"), page.alias("html"))).select("page_id", "source", "value")
+    return html.discoveries(dealt(spark, sf_dir, "customer", "c_custkey").select(k.alias("page_id"), page.alias("html"))).select("page_id", "source", "value")
 
 
 @R.add("yaml_keys", "SELECT concat('https://a', p_partkey, '.example/200') AS url, 'GET' AS method, '7,true' AS query_params FROM part")

@@ -13,6 +13,8 @@ from pagegraph.operators import openapi
 ROWS = 11_000
 #: Queries whose rows keep the task they were made in, and their table.
 DEALT = {"yaml_keys": "part"}
+#: Queries that shuffle what they made.
+SUMMED = {"login_form": "customer"}
 KEYS = {"part": "p_partkey", "customer": "c_custkey"}
 
 
@@ -36,6 +38,16 @@ def test_dealt_over_tasks(spark, folder, name):
     assert max(tasks) < 1.2 * min(tasks)
 
 
+@pytest.mark.parametrize("name", SUMMED)
+def test_dealt_and_summed(spark, folder, name):
+    found = catalog.QUERIES[name](spark, folder)
+    assert "RoundRobinPartitioning(3)" in found._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {SUMMED[name]} AS SELECT * FROM read_parquet('{folder}/{SUMMED[name]}.parquet')")
+    expected = con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 PLAIN = "openapi: 3.0.0\npaths:\n  /a: {get: {parameters: [{name: 7, in: query}, {name: 'été', in: query}]}}\n"
 ODD = [
     PLAIN, "a:\tb", "a: b\t# c\n", "\ufeffa: b", "a:\n\ufeff  b: c", "{a?b: c}", "{a: b?}", "{a:,b}", "{a:, b: c}", "e: ! #x\n", "e: !!str 1", "- - - a\n- ? b", "%YAML 1.2\n---\na: b", "a: b\r\nc: d\rx: y",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.operators import openapi
-from pagegraph.registry import Registry, table
+from pagegraph.registry import Registry, dealt, table
 
 R = Registry()
 
@@ -39,7 +39,7 @@ ORIGIN = "concat('https://a', p_partkey, '.example"
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     body = F.when(k % 4 == 0, json.dumps(SECOND)).when(k % 4 == 1, json.dumps(THIRD)).when(k % 4 == 2, PLAIN).otherwise("free text")
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("https://a"), k.cast("string"), F.lit(".example/spec.json")).alias("source_url"), body.alias("body"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("https://a"), k.cast("string"), F.lit(".example/spec.json")).alias("source_url"), body.alias("body"))
 
 
 def _rows(rest: int, *rows: tuple[str, str, str, str, str]) -> str:

@@ -12,7 +12,7 @@ from pagegraph.operators import openapi
 
 ROWS = 11_000
 #: Queries whose rows keep the task they were made in, and their table.
-DEALT = {"yaml_keys": "part", "links_script": "customer", "links_button": "customer", "openapi_load": "part", "openapi_v3": "part", "openapi_order": "part", "openapi_ref": "part", "forms": "customer", "code_paths": "customer", "base_href": "customer"}
+DEALT = {"yaml_keys": "part", "links_script": "customer", "links_button": "customer", "openapi_load": "part", "openapi_v3": "part", "openapi_order": "part", "openapi_ref": "part", "forms": "customer", "code_paths": "customer", "base_href": "customer", "form_params": "customer"}
 #: Queries that shuffle what they made.
 SUMMED = {"login_form": "customer", "openapi_params": "part", "form_drop_empty": "customer"}
 KEYS = {"part": "p_partkey", "customer": "c_custkey"}
